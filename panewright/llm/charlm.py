@@ -1,0 +1,209 @@
+"""Interpolated modified Kneser-Ney models over a fixed alphabet of 64 symbols, order 4.
+
+Symbols stand for classes of characters, so that no language needs a vocabulary of its own and two
+models always share one. There are 64^4 four-grams and no more: a table of all their probabilities is 64 MB,
+whatever the corpus; that bounds what is sent to the executors.
+
+Counts are gathered per task, summed over the four-grams by Spark, and joined with the totals
+of their histories, order by order. A model then is a list of discounted probabilities and of the weights that
+histories give to the next lower order.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import small_batches
+
+ORDER, BITS = 4, 6
+SYMBOLS = 1 << BITS
+GRAMS = 1 << (ORDER * BITS)
+#: Characters worked on at once.
+BLOCK = 1 << 20
+#: Symbols: 0 before a text, 1 a space, 2 a line end, 3 a digit, 4-29 a-z, 30 a capital inside a word, 31-41 as below, 42-63 other letters by a hash.
+INNER = 30
+MARKS = {31: ".", 32: ",", 33: "'\"“”„«»’‘", 34: "-–—_", 35: "!?¡¿", 36: ":;", 37: "()[]{}<>", 38: "|/\\", 39: "#$%&*+=@^~`"}
+OTHER_MARK, OTHER = 40, 41
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point, and whether it is a capital."""
+    symbol, capital = np.full(0x110000, OTHER, np.uint8), np.zeros(0x110000, bool)
+    for c in range(1, 0x110000):
+        s = chr(c)
+        if s.isalpha():
+            low = s.lower()
+            capital[c] = low != s
+            o = ord(low[0])
+            symbol[c] = o - 93 if 97 <= o <= 122 else 42 + ((o * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % 22
+        elif s.isdigit():
+            symbol[c] = 3
+        elif s in "\n\r":
+            symbol[c] = 2
+        elif s.isspace():
+            symbol[c] = 1
+        elif s.isprintable():
+            symbol[c] = OTHER_MARK
+    for k, marks in MARKS.items():
+        symbol[[ord(m) for m in marks]] = k
+    symbol[0] = 0
+    return symbol, capital
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(four-gram of each symbol, number of symbols of each text). Runs of spaces count as one."""
+    symbol, capital = _classes()
+    gap = "\0" * (ORDER - 1)
+    flat = np.frombuffer((gap + gap.join([t.replace("\0", "\1") for t in texts])).encode("utf-32-le", "surrogatepass"), np.uint32)
+    s, up = symbol[flat], capital[flat]
+    letter = ((s >= 4) & (s < INNER)) | (s >= 42)
+    s = np.where(up & np.concatenate([[False], letter[:-1]]), np.uint8(INNER), s)
+    start = np.cumsum([ORDER - 1] + [len(t) + ORDER - 1 for t in texts])[:-1]
+    stay = np.ones(len(s), bool)
+    stay[1:] = (s[1:] != 1) | (s[:-1] != 1)
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    real = s != 0
+    sizes = np.bincount(text[stay[real]], minlength=len(texts)) if len(text) else np.zeros(len(texts), np.int64)
+    del start
+    s = s[stay].astype(np.int32)
+    g = np.zeros(len(s), np.int32)
+    for k in range(ORDER):
+        g[k:] |= s[: len(s) - k] << (BITS * k)
+    return g[s != 0], sizes
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(row of each text, texts) of about BLOCK characters; longer texts come in parts, each with its row."""
+    rows, held, size = [], [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t or ""), BLOCK):
+            part = t[at : at + BLOCK]
+            rows.append(k)
+            held.append(part)
+            size += len(part)
+            if size >= BLOCK:
+                yield rows, held
+                rows, held, size = [], [], 0
+    if rows:
+        yield rows, held
+
+
+def count(docs: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """(g, and for each name in flags how often its rows have the four-gram g).
+
+    docs: text and the boolean columns that are the values of flags. A task sends each
+    four-gram once, so what is gathered grows with the number of tasks and
+    not with the most frequent four-gram.
+    """
+    small_batches(docs.sparkSession)
+    names = list(flags)
+
+    def run(batches):
+        total = np.zeros((len(names), GRAMS), np.int32)
+        for b in batches:
+            on = np.array([[bool(x) for x in b.column(1 + k).to_pylist()] for k in range(len(names))])
+            for rows, texts in blocks(b.column(0).to_pylist()):
+                g, sizes = grams(texts)
+                for k in range(len(names)):
+                    mine = g[np.repeat(on[k][rows], sizes)]
+                    u, n = np.unique(mine, return_counts=True)
+                    total[k, u] += n.astype(np.int32)
+        at = np.flatnonzero(total.any(axis=0))
+        for i in range(0, len(at), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 65536].astype(np.int32)), *[pa.array(t[at[i : i + 65536]].astype(np.int64)) for t in total]], ["g", *names])
+
+    d = docs.select("text", *[F.coalesce(F.col(c), F.lit(False)).alias(n) for n, c in flags.items()])
+    parts = d.mapInArrow(run, "g int, " + ", ".join(f"`{n}` bigint" for n in names))
+    return parts.groupBy("g").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """The three discounts from the numbers of grams seen once, twice, three and four times; where these say nothing, a half, one and one and a half."""
+    if min(n) <= 0:
+        return 0.5, 1.0, 1.5
+    y = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))  # type: ignore[return-value]
+
+
+class Model:
+    """prob[k] has (grams, discounted probabilities), rest[k] (histories, weights of the lower order), k from order 1 up."""
+
+    def __init__(self, prob: list[tuple[np.ndarray, np.ndarray]], rest: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.prob, self.rest = prob, rest
+
+    def losses(self) -> np.ndarray:
+        """Minus the log2 probability of each four-gram's last symbol after the others."""
+        p = np.full(SYMBOLS, 1.0 / (SYMBOLS - 1), np.float32)
+        for k, ((g, a), (h, w)) in enumerate(zip(self.prob, self.rest, strict=True)):
+            weight = np.ones(1 << (BITS * k), np.float32)
+            weight[h] = w
+            below = p.reshape(-1, SYMBOLS)
+            p = (weight.reshape(-1, below.shape[0], 1) * below).reshape(-1) if k else weight[0] * p
+            p[g] += a
+        np.log2(p, out=p)
+        np.negative(p, out=p)
+        return p
+
+
+def fit(counts: DataFrame, column: str) -> Model:
+    """The model of one column of count()'s result. An empty table gives the uniform model."""
+    prob, rest = [], []
+    table = counts.where(F.col(column) > 0).select("g", F.col(column).alias("c"))
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:  # lower orders count how many symbols a gram follows
+            table = table.groupBy((F.col("g") % (1 << (BITS * k))).alias("g")).agg(F.count(F.lit(1)).alias("c"))
+        n = table.where("c <= 4").groupBy("c").count().collect()  # four rows at most
+        d = discounts([next((r["count"] for r in n if r.c == i), 0) for i in (1, 2, 3, 4)])
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        t = table.withColumn("h", F.shiftright("g", BITS)).withColumn("off", off)
+        histories = t.groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("given"))
+        joined = t.join(histories, "h").select("g", ((F.col("c") - F.col("off")) / F.col("total")).alias("a")).toArrow()
+        weights = histories.select("h", (F.col("given") / F.col("total")).alias("w")).toArrow()
+        prob.append((joined["g"].to_numpy().astype(np.int32), joined["a"].to_numpy().astype(np.float32)))
+        rest.append((weights["h"].to_numpy().astype(np.int32), weights["w"].to_numpy().astype(np.float32)))
+    return Model(prob[::-1], rest[::-1])
+
+
+_TABLES: dict[int, list[np.ndarray]] = {}
+
+
+def score(docs: DataFrame, models: list[Model], names: list[str], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs' id and the columns in keep, with n_symbols and each model's total loss in bits. Null, empty: 0."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(models)  # 64^4 numbers a model at most
+
+    def run(batches):
+        key = id(sent.value)
+        if key not in _TABLES:
+            _TABLES.clear()
+            _TABLES[key] = [m.losses() for m in sent.value]
+        tables = _TABLES[key]
+        for b in batches:
+            total, n = np.zeros((len(names), b.num_rows)), np.zeros(b.num_rows, np.int64)
+            for rows, texts in blocks(b.column(0).to_pylist()):
+                g, sizes = grams(texts)
+                np.add.at(n, rows, sizes)
+                some = np.flatnonzero(sizes)
+                if not len(some):
+                    continue
+                starts = (np.cumsum(sizes) - sizes)[some]
+                for k, t in enumerate(tables):
+                    np.add.at(total[k], np.array(rows)[some], np.add.reduceat(t[g], starts, dtype=np.float64))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), *[pa.array(x) for x in total]], [*b.schema.names[1:], "n_symbols", *names])
+
+    d = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
+    return d.mapInArrow(run, f"{kinds}, n_symbols bigint, " + ", ".join(f"`{x}` double" for x in names))
+
+
+def perplexity(bits: float, n: int) -> float:
+    return math.inf if n == 0 else 2 ** (bits / n)

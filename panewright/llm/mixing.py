@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -82,6 +82,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """The mix itself: docs, with all their columns, each row as often as mix() takes its id.
+
+    The copies of rows that repeat an id, or have none, are counted together and dealt out evenly among them.
+    """
+    key, copies, rows, at = (free_name(docs, c) for c in ("_key", "_copies", "_rows", "_at"))
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    taken = mix(docs, id_col, text_col, source_col, seed).groupBy(named("doc_id").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    both = docs.withColumn(key, named(id_col)).join(taken, key).withColumn(at, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    upto = lambda k: F.floor(F.col(copies) * k / F.col(rows))
+    n = (upto(F.col(at)) - upto(F.col(at) - 1)).cast("int")
+    return both.withColumn(at, F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
