@@ -127,24 +127,25 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dic
     return {k: v / n for k, v in sorted(found.items()) if (n := np.linalg.norm(v)) > 0}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs' id and the columns in keep, with lang_pred and score (the cosine, 0 at least)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The columns in keep, with lang_pred and score (the cosine, 0 at least); docs' columns of these two names can't be kept."""
     small_batches(docs.sparkSession)
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), SIZE)
+    d = docs.select(*keep, *([] if text_col in keep else [text_col]))
+    at = d.columns.index(text_col)
 
     def score(batches):
         for b in batches:
             lang, best = [NONE] * b.num_rows, np.zeros(b.num_rows)
-            for row, v in _bundles(b.column(0).to_pylist()):
+            for row, v in _bundles(b.column(at).to_pylist()):
                 if names and (length := float(np.linalg.norm(v))) > 0:
                     cosine = matrix @ (v / length)
                     k = int(cosine.argmax())
                     lang[row], best[row] = names[k], min(1.0, max(0.0, float(cosine[k])))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang), pa.array(best)], [*b.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang), pa.array(best)], [*keep, "lang_pred", "score"])
 
-    d = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[: len(keep)])
     return d.mapInArrow(score, f"{kinds}, lang_pred string, score double")
 
 
@@ -160,4 +161,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     score 0. Ties go to the first language by name. A null id is not held out.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).withColumn("held_out", split(F.col("doc_id")))
-    return predict(d, fit(d.where("not held_out")), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(d, fit(d.where("not held_out")), ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
