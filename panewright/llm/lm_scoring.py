@@ -27,7 +27,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target documents the target model is uniform.
     """
     d = docs.select("doc_id", "text")
-    marked = d.join(targets(labels), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"), F.lit(True).alias("is_any"))
+    # a merge join whatever the tables' sizes: labels grow with the corpus, and a plan that changes with size is one that was never tried
+    marked = d.join(targets(labels).hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"), F.lit(True).alias("is_any"))
     counts = cut(charlm.count(marked, {"target": "is_target", "background": "is_any"}))
     models = [charlm.fit(counts, "target"), charlm.fit(counts, "background")]
     s = charlm.score(d, models, ["target_bits", "background_bits"])
