@@ -33,7 +33,7 @@ def apply_policies(emissions: DataFrame, policies: Mapping[str, ChannelPolicy],
     if not named:
         return emissions, emissions.where("false").select(*b, "channel", F.lit("").alias("reason"), "derived_event_id")
     rows = emissions.withColumn("_at", F.row_number().over(W.partitionBy(*b).orderBy(*order)).cast("double"))
-    hops = MOST_HOPS + 1 if any(p.kind == "dead_letter" for p in named.values()) else 1
+    hops = _rounds(named)
     kinds = lambda f, other: F.coalesce(*[F.when(F.col("channel") == c, f(p)) for c, p in named.items()], other)
     dropped = None
     for hop in range(hops):
@@ -43,22 +43,34 @@ def apply_policies(emissions: DataFrame, policies: Mapping[str, ChannelPolicy],
         over = F.col("_cap").isNotNull() & F.when(F.col("_kind") == "block", F.col("_up") > F.col("_cap")).otherwise(F.col("_down") > F.col("_cap"))
         if keep_at_zero:
             over = over & ~((F.col("_kind") == "drop_oldest") & (F.col("_cap") == 0))
-        marked = rows.withColumn("_over", over)
+        marked = rows.withColumn("_over", over).withColumn("_then", kinds(lambda p: F.lead("_at", p.capacity).over(by.orderBy("_at")), F.lit(None).cast("double")))
         reason = F.when(F.col("_kind") == "block", BLOCK).when(F.col("_kind") == "drop_oldest", DROP_OLDEST).when(F.col("_to").isNull() | (F.col("_to") == F.col("channel")) | F.lit(hop >= MOST_HOPS), LOOP).otherwise(DEAD_LETTER)
         said = marked.where("_over").select(*b, "channel", reason.alias("reason"), "derived_event_id")
         dropped = said if dropped is None else dropped.unionByName(said)
         stays = marked.where("not _over")
-        if hop + 1 == hops:
+        sending = any(p.kind == "dead_letter" for p in named.values()) and hop < MOST_HOPS
+        if not sending:
             rows = stays
             break
         # a row that is sent on arrives just after the one that displaced it, which came `capacity` places later
-        later = marked.select(*[F.col(c).alias(f"_l_{c}") for c in b], F.col("channel").alias("_l_channel"), F.col("_up").alias("_l_up"), F.col("_at").alias("_l_at"))
-        came = marked.where(F.col("_over") & (reason == DEAD_LETTER)).join(later, [*[F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in b], F.col("channel") == F.col("_l_channel"), F.col("_l_up") == F.col("_up") + F.col("_cap")], "left")
-        sent = came.withColumn("channel", F.col("_to")).withColumn("_at", F.coalesce("_l_at", "_at") + F.lit(1e-6) * (hop + 1)).select(*emissions.columns, "_at")
+        sent = marked.where(F.col("_over") & (reason == DEAD_LETTER)).withColumn("channel", F.col("_to"))
+        sent = sent.withColumn("_at", F.coalesce("_then", "_at") + F.lit(1e-6) * (hop + 1)).select(*emissions.columns, "_at")
         rows = stays.select(*emissions.columns, "_at").unionByName(sent)
     return rows.select(*emissions.columns), dropped
 
 
+def _rounds(policies: Mapping[str, ChannelPolicy]) -> int:
+    """How often channels have to be looked at: once more for each time that a row can be sent on and meet a limit again."""
+
+    def depth(channel: str | None, hop: int) -> int:
+        p = policies.get(channel or "")
+        if p is None:
+            return 0
+        return 1 if p.kind != "dead_letter" or hop >= MOST_HOPS else 1 + depth(p.target, hop + 1)
+
+    return max(depth(c, 0) for c in policies)
+
+
 def drop_counters(drops: DataFrame) -> DataFrame:
     return drops.groupBy("channel", "reason").agg(F.count(F.lit(1)).alias("n"))
 

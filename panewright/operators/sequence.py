@@ -36,7 +36,7 @@ def fnv1a(key: Column) -> Column:
             h[:live] = (h[:live] ^ flat[start[:live] + k]) * np.uint64(0x100000001B3)
         out = np.empty_like(h)
         out[order] = h
-        return pd.Series(out.view(np.int64)).where(~s.isna().to_numpy(), None)
+        return pd.Series(pd.arrays.IntegerArray(out.view(np.int64), s.isna().to_numpy()))
 
     return hashed(key)
 
