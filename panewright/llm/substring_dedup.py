@@ -5,7 +5,7 @@ not a line here: it runs from one word pair that has the least hash within six w
 Where it is cut depends on these words alone, and a copied passage of fifty words has
 the same cuts within it wherever it stands.
 
-1. Each paragraph's 5-word shingles give 8 minima, two to a band. Tasks send each band's key
+1. Each paragraph's 5-word shingles give a minimum for each band. Tasks send each band's key
    once, and learn which keys occur elsewhere: nearly all paragraphs share none and are done.
 2. The others come again with their shingles. Different ones that share a band's key are compared; pairs with a Jaccard
    similarity of 0.8 are links; linked paragraphs are clusters. One occurrence of a cluster stays.
@@ -27,8 +27,9 @@ from .common import cut, small_batches
 from .components import components, forest
 
 SHINGLE, REACH, LONGEST = 5, 6, 64
-#: At similarity 0.8 a pair shares one of 4 bands of 2 with probability 1 - (1 - 0.8^2)^4 = 0.98.
-BANDS, ROWS = 4, 2
+#: At similarity 0.8 a pair shares one of 3 bands of 1 with probability 1 - (1 - 0.8)^3 = 0.992. Texts that differ share
+#: hardly any five words in a row, so wider bands would save no comparisons, and for that recall need twice as many keys.
+BANDS, ROWS = 3, 1
 SIMILAR, LEAST_WORDS = 0.8, 12
 BLOCK = 1 << 20
 U = np.uint64
@@ -79,9 +80,12 @@ class Paragraphs:
         if n < SHINGLE:
             return
         pair = mix(w + np.append(w[1:], U(0)) * U(0xD6E8FEB86659FD93))
-        padded = np.concatenate([np.full(REACH, U(2**64 - 1)), pair, np.full(REACH, U(2**64 - 1))])
+        pair[np.concatenate([np.flatnonzero(text[1:] != text[:-1]), [n - 1]])] = U(2**64 - 1)  # a text's last word has no pair
+        place = np.arange(n) + (text + 1) * REACH  # as many words of no text before, between and after texts
+        padded = np.full(n + (len(texts) + 1) * REACH, U(2**64 - 1))
+        padded[place] = pair
         least = np.lib.stride_tricks.sliding_window_view(padded, REACH)
-        before, after = least[:n].min(1), least[REACH + 1 : REACH + 1 + n].min(1)
+        before, after = least[place - REACH].min(1), least[np.minimum(place + 1, len(least) - 1)].min(1)
         begins = (pair < before) & (pair <= after)
         begins[np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])] = True
         first = np.flatnonzero(begins)
@@ -141,13 +145,23 @@ def blocks(ids: list[int], texts: list[str | None]) -> Iterator[tuple[np.ndarray
         yield np.array(row), np.array(skip), held
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: the high bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
 def _dealt(shards: int, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """One row for each shard that occurs, with the bytes of its part of each column."""
     order = np.argsort(shard, kind="stable")
     shard = shard[order]
     start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
     end = np.append(start[1:], len(shard))
-    packed = [pa.array([c[a:b].tobytes() for a, b in zip(start, end, strict=True)], pa.binary()) for c in (c[order] for c in columns)]
+    packed = [pa.array([_planes(c[a:b]) for a, b in zip(start, end, strict=True)], pa.binary()) for c in (c[order] for c in columns)]
     return pa.RecordBatch.from_arrays([pa.array(shard[start].astype(np.int32)), *packed], ["shard", *"abc"[: len(columns)]])
 
 
@@ -171,9 +185,10 @@ def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
             # a shard of -1 - s holds what is flagged already
             if often.any():
                 own = np.unique(np.stack([doc[often], first[often]], 1), axis=0)
-                yield _dealt(shards, -1 - (mix(own[:, 0].view(np.uint64)) % U(shards)).astype(np.int64), np.zeros(len(own), np.uint64), own[:, 0], own[:, 1].astype(np.int32))
+                yield _dealt(shards, -1 - (mix(own[:, 0].view(np.uint64)) % U(shards)).astype(np.int64), np.zeros(len(own), np.uint32), own[:, 0], own[:, 1].astype(np.int32))
             key, doc, first = key[new], doc[new], np.where(size > 1, np.int32(-1), first[new])
-            yield _dealt(shards, (key % U(shards)).astype(np.int64), key, doc, first)
+            # half a key is enough within a shard: two that agree by chance only make the second step look at more
+            yield _dealt(shards, (key % U(shards)).astype(np.int64), (key >> U(32)).astype(np.uint32), doc, first)
 
         for b in batches:
             for row, skip, texts in blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -190,7 +205,7 @@ def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
             yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        key, doc, first = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("a", np.uint64), ("b", np.int64), ("c", np.int32)))
+        key, doc, first = (np.concatenate([_from_planes(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("a", np.uint32), ("b", np.int64), ("c", np.int32)))
         if t.column("shard")[0].as_py() >= 0:
             order = np.argsort(key, kind="stable")
             key, doc, first = key[order], doc[order], first[order]
@@ -208,7 +223,7 @@ def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
 
 
 def similar(contents: DataFrame, shards: int, least: float = SIMILAR) -> DataFrame:
-    """(a, b): links that connect the contents (content, shingles, keys) which share a band's key and have a Jaccard similarity of `least` or more."""
+    """(a, b): links that connect the contents (content, shingles, key), a row for each band, which share a band's key and have a Jaccard similarity of `least` or more."""
 
     def compare(t: pa.Table) -> pa.Table:
         key, content = t.column("key").to_numpy(), t.column("content").to_numpy()
@@ -243,10 +258,44 @@ def similar(contents: DataFrame, shards: int, least: float = SIMILAR) -> DataFra
         a, b = forest(np.concatenate(left), np.concatenate(right))
         return pa.table({"a": a, "b": b})
 
-    each = contents.select("content", "shingles", F.explode("keys").alias("key")).withColumn("shard", F.pmod("key", F.lit(shards)))
+    each = contents.withColumn("shard", F.pmod("key", F.lit(shards)))
     return each.groupBy("shard").applyInArrow(compare, "a bigint, b bigint")
 
 
+#: Bits of the filter that keeps documents without suspects out of a join: 8 MB, whatever the corpus. In a corpus so large that it fills up, it keeps out fewer.
+FILTER_BITS = 1 << 26
+
+
+def _maybe(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without most of those whose id is not in found."""
+    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = found.select(bit().alias("b")).select(F.bitmap_bucket_number("b").alias("bucket"), F.bitmap_bit_position("b").alias("at"))
+    bits = F.broadcast(bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))  # FILTER_BITS / 32,768 rows of 4 KB at most
+    d = docs.withColumn("_b", bit()).withColumn("bucket", F.bitmap_bucket_number("_b")).withColumn("_at", F.bitmap_bit_position("_b").cast("int"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return d.join(bits, "bucket").where(F.call_function("getbit", byte.cast("long"), F.col("_at") % 8) == 1).select("doc_id", "text")
+
+
+def _doubtful(parts: DataFrame) -> DataFrame:
+    """(content, shingles, key) of the contents that share a band's key with another content, for the keys that they share."""
+    some = parts.where("shingles is not null").select("content", "shingles")
+
+    def keyed(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            if sets:
+                p = Paragraphs([])
+                p.shingles, size = np.concatenate(sets), np.array([len(x) for x in sets])
+                p.at = np.cumsum(size) - size
+                keys = p.bands().view(np.int64)
+                for k in keys:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k)], ["content", "key"])
+
+    keys = cut(some.mapInArrow(keyed, "content bigint, key bigint").distinct())
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return some.join(keys.join(shared, "key"), "content").dropDuplicates(["content", "key"])
+
+
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: int | None = None) -> DataFrame:
     """One row for each paragraph that has a similar one elsewhere: doc_id, first_word, n_words, cluster_doc, cluster_word, cluster_size, kept.
 
@@ -259,10 +308,11 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: i
     small_batches(spark)
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards or max(64, 4 * d.rdd.getNumPartitions())
-    found = suspects(d, shards).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("first")).alias("firsts"))
-    mine = d.join(found, "doc_id").select("doc_id", "text", "firsts")
+    found = cut(suspects(d, shards).groupBy("doc_id").agg(F.sort_array(F.collect_set("first")).alias("firsts")))
+    mine = _maybe(d, found).join(found, "doc_id").select("doc_id", "text", "firsts")
 
     def again(batches):
+        told: set[int] = set()  # contents whose shingles this task has sent, up to a number; sending some twice does no harm
         for b in batches:
             ids = b.column(0).to_pylist()
             wanted: dict[int, set[int]] = {}
@@ -270,18 +320,20 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: i
                 wanted.setdefault(i, set()).update(f)
             for row, skip, texts in blocks(ids, b.column(1).to_pylist()):
                 p = Paragraphs(texts)
-                first = p.first + skip[p.text]
-                doc = row[p.text]
+                first, doc = p.first + skip[p.text], row[p.text]
                 keep = np.flatnonzero([f in wanted[x] for x, f in zip(doc.tolist(), first.tolist(), strict=True)])
-                keys, ends = p.bands().view(np.int64).T, np.append(p.at[1:], len(p.shingles))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[keep]), pa.array(first[keep]), pa.array(p.words[keep]), pa.array(p.content.view(np.int64)[keep]), pa.array([np.unique(p.shingles[p.at[k] : ends[k]]).tobytes() for k in keep], pa.binary()), pa.array(keys[keep].tolist(), pa.list_(pa.int64()))],
-                    ["doc_id", "first_word", "n_words", "content", "shingles", "keys"],
-                )
-
-    parts = cut(mine.mapInArrow(again, "doc_id bigint, first_word bigint, n_words bigint, content bigint, shingles binary, keys array<bigint>"))
-    contents = parts.groupBy("content").agg(F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
-    roots = components(similar(contents, shards))
+                ends, content = np.append(p.at[1:], len(p.shingles)), p.content.view(np.int64)
+                sets = []
+                for k in keep.tolist():
+                    c = int(content[k])
+                    sets.append(None if c in told else np.unique(p.shingles[p.at[k] : ends[k]]).tobytes())
+                    told.add(c)
+                if len(told) > 1 << 18:
+                    told.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(first[keep]), pa.array(p.words[keep]), pa.array(content[keep]), pa.array(sets, pa.binary())], ["doc_id", "first_word", "n_words", "content", "shingles"])
+
+    parts = cut(mine.mapInArrow(again, "doc_id bigint, first_word bigint, n_words bigint, content bigint, shingles binary"))
+    roots = components(similar(_doubtful(parts), shards))
     where = parts.select("doc_id", "first_word", "n_words", "content").distinct()
     named = where.join(roots, where["content"] == roots["node"], "left").select("doc_id", "first_word", "n_words", F.coalesce("root", "content").alias("root"))
     clusters = named.groupBy("root").agg(F.min(F.struct("doc_id", "first_word")).alias("lead"), F.count(F.lit(1)).alias("cluster_size"))
