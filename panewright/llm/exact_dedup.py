@@ -55,9 +55,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other. Further columns, whatever their names, are not read.
     """
     r = cut(recipes(docs, id_col, text_col, key))
-    groups = r.groupBy("recipe", "extra").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = r.join(groups, ["recipe", "extra"])
-    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = r.groupBy("recipe", "extra").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # dealt anew, so that the join shuffles both sides and a group with very many rows can be split at run time
+    out = r.join(groups.repartition("keep_id"), ["recipe", "extra"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return out.select(F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
