@@ -18,31 +18,39 @@ EXPIRED_REASON = "PERMANENT_RETRY_EXPIRED"
 def decide(events: DataFrame, window_ms: int = 1_800_000, by: tuple[str, ...] = ("partition_id", "event_id"), payload: str = "payload") -> DataFrame:
     """events with decision.
 
-    Ids that occur once, nearly all, are Fresh and take no further part. The retried ones' events are folded in log order, each id
-    as one array of (place, tick, payload hash).
+    Events without an id, and ids that occur once, nearly all, are Fresh and take no further part. The retried ones pass in order of id
+    and log through a fold that remembers the current id only, so an id that is retried without end costs time and no memory.
     """
+    name = by[-1]
     hashed = F.xxhash64(F.coalesce(F.col(payload).cast("string"), F.lit("")))
-    e = events.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+    e = events.withColumn("_n", F.when(F.col(name).isNotNull(), F.count(F.lit(1)).over(W.partitionBy(*by))).otherwise(F.lit(1)))
     once = e.where("_n = 1").drop("_n").withColumn("decision", F.lit(FRESH))
-    more = e.where("_n > 1").drop("_n").withColumn("_h", hashed)
-    order = F.sort_array(F.collect_list(F.struct(F.col("log_index").alias("i"), F.col("tick_ms").alias("t"), F.col("_h").alias("h"))))
-    lists = more.groupBy(*by).agg(order.alias("es"))
-    kind = "struct<known:boolean,h:bigint,t:bigint,out:array<struct<i:bigint,d:string>>>"
-    start = F.struct(F.lit(False).alias("known"), F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("bigint").alias("t"), F.array().cast("array<struct<i:bigint,d:string>>").alias("out")).cast(kind)
-
-    def step(s, x):
-        age = F.greatest(x["t"] - s["t"], F.lit(0))
-        d = F.when(~s["known"], FRESH).when(age > window_ms, EXPIRED).when(s["h"] == x["h"], DUPLICATE).otherwise(DIVERGENT)
-        said = F.concat(s["out"], F.array(F.struct(x["i"].alias("i"), d.alias("d"))))
-        return F.struct(
-            (d != EXPIRED).alias("known"),
-            F.when(d == FRESH, x["h"]).otherwise(s["h"]).alias("h"),
-            F.when(d.isin(FRESH, DUPLICATE), x["t"]).otherwise(s["t"]).alias("t"),
-            said.alias("out"),
-        ).cast(kind)
-
-    told = lists.select(*by, F.explode(F.aggregate("es", start, step, lambda s: s["out"])).alias("o")).select(*by, F.col("o.i").alias("log_index"), F.col("o.d").alias("decision"))
-    more = more.drop("_h").join(told, [*by, "log_index"])
+    more = e.where("_n > 1").drop("_n")
+    slim = more.select(*by, "log_index", "tick_ms", hashed.alias("_h")).repartition(*by).sortWithinPartitions(*by, "log_index")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(by) + 1])
+
+    def fold(batches):
+        current, known, h, t = None, False, 0, 0
+        for b in batches:
+            said = []
+            for key, tick, payload_hash in zip(zip(*[b[c] for c in by], strict=True), b["tick_ms"], b["_h"], strict=True):
+                if key != current:
+                    current, known = key, False
+                if not known:
+                    known, h, t = True, payload_hash, tick
+                    said.append(FRESH)
+                elif tick - t > window_ms:
+                    known = False
+                    said.append(EXPIRED)
+                elif payload_hash == h:
+                    t = tick
+                    said.append(DUPLICATE)
+                else:
+                    said.append(DIVERGENT)
+            yield b[[*by, "log_index"]].assign(decision=said)
+
+    told = slim.mapInPandas(fold, f"{kinds}, decision string")
+    more = more.join(told, [*by, "log_index"])
     return once.unionByName(more.select(*once.columns))
 
 
