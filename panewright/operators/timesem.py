@@ -82,6 +82,23 @@ def late_counters(late_rows: DataFrame, skewed: DataFrame) -> DataFrame:
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def retractions(late_rows: DataFrame, specs: Sequence[MetricSpec]) -> DataFrame:
+    """(partition_id, log_index, metric, flag) of measurements behind the watermark that a metric with the policy "retract" still takes.
+
+    Panes are recomputed from their rows, so such a measurement counts in its own pane, and every window that holds the
+    pane gets its new value: bindings that these events touch are corrections, and carry the flag RETRACT.
+    """
+    names = sorted(s.metric for s in specs if s.late_policy == "retract")
+    behind = late_rows.where(~F.col("late") & (F.col("tick_ms") < F.col("watermark_ms")))
+    behind = behind.where(F.col("metric").isin(names)) if names else behind.where("false")
+    return behind.select("partition_id", "log_index", "metric", F.lit("RETRACT").alias("flag"))
+
+
+def latest(traced: DataFrame) -> DataFrame:
+    """(partition_id, watermark_ms, lag_ms, applied_index) after each partition's last event, from trace()'s rows."""
+    return traced.groupBy("partition_id").agg(F.max_by("watermark_ms", "log_index").alias("watermark_ms"), F.max_by("lag_ms", "log_index").alias("lag_ms"), F.max("log_index").alias("applied_index"))
+
+
 def dropped_metrics(late_rows: DataFrame) -> DataFrame:
     """(partition_id, log_index, dropped): the metrics that an event lost by lateness and was told of."""
     return late_rows.where("late_reason is not null").groupBy("partition_id", "log_index").agg(F.sort_array(F.collect_set("metric")).alias("dropped"))

@@ -204,6 +204,18 @@ def late_audits(spark, sf_dir):
     return timesem.audits(timesem.mark_late(log(spark, sf_dir, 9), LATE_SPECS, 2 * HOUR))
 
 
+@query(f"{LATENESS.replace('AS late FROM', f'AS late, {WM} AS wm FROM')} SELECT partition_id, log_index, 'value' AS metric, 'RETRACT' AS flag FROM l WHERE NOT late AND tick_ms < wm")
+def late_retractions(spark, sf_dir):
+    specs = (MetricSpec("value", "sum", 6 * HOUR, correction_ms=HOUR, late_policy="retract"),)
+    return timesem.retractions(timesem.mark_late(log(spark, sf_dir, 9), specs, 2 * HOUR), specs)
+
+
+@query(f"""{LATE}, t AS (SELECT partition_id, log_index, {WM} AS wm, max(tick_ms) OVER w - {WM} AS lag FROM e WINDOW w AS (PARTITION BY partition_id ORDER BY log_index ROWS UNBOUNDED PRECEDING))
+SELECT partition_id, arg_max(wm, log_index) AS watermark_ms, arg_max(lag, log_index) AS lag_ms, max(log_index) AS applied_index FROM t GROUP BY 1""")
+def watermark_latest(spark, sf_dir):
+    return timesem.latest(timesem.trace(log(spark, sf_dir, 9), 2 * HOUR, 0, arrival=False))
+
+
 @query(f"""{LATENESS}, a AS (SELECT tick_ms AS t, tick_ms + CASE WHEN log_index % 100 = 1 THEN -3600000 WHEN log_index % 100 = 2 THEN 3600000 ELSE log_index % 5000 END AS c FROM ({LOG.replace('WITH e AS (', '').removesuffix(')')}) x)
 SELECT 'NON_RETRACTABLE_FINALIZED' AS reason, count(*) AS n FROM l WHERE late UNION ALL SELECT 'FUTURE_SKEW', count(*) FROM a WHERE t > c + 5000 UNION ALL SELECT 'PAST_SKEW', count(*) FROM a WHERE t <= c + 5000 AND t < c - 1800000""")
 def late_counters(spark, sf_dir):

@@ -264,6 +264,17 @@ def test_bundle_checks():
     assert bundle.load("bundle: {name: x}\nworkflow: {phases: []}").name == "x"
 
 
+def test_lint(tmp_path, capsys):
+    import yaml
+
+    from panewright.lint import lint
+
+    (tmp_path / "b.yaml").write_text(yaml.safe_dump(FLOW))
+    assert lint(str(tmp_path / "b.yaml")) == 0 and "| total | | 16 | Healthy |" in capsys.readouterr().out
+    (tmp_path / "c.yaml").write_text("bundle: {name: x}")
+    assert lint(str(tmp_path / "c.yaml")) == 1 and lint(str(tmp_path / "none.yaml")) == 1
+
+
 def test_registries():
     r = SchemaRegistry()
     r.register("k", "json:1.0:aa")
