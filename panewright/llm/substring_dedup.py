@@ -1,15 +1,16 @@
-"""Substring dedup: MinHash banding over paragraphs that the text itself cuts.
+"""Substring dedup: MinHash banding over lines, and over pieces that the text itself cuts.
 
-A passage that was copied into another text may start and end in the middle of a line, so a paragraph is
-not a line here: it runs from one word pair that has the least hash within six words of it to the next such pair.
-Where it is cut depends on these words alone, and a copied passage of fifty words has
-the same cuts within it wherever it stands.
+Paragraphs are of two kinds. Each line of five words or more is one. A passage that was copied into another text may
+start and end in the middle of a line, so the text is also cut into pieces, which run from one word pair that has the least
+hash within four words of it to the next such pair. Where a piece is cut depends on these words alone, and a
+copied passage has the same cuts within it wherever it stands. Lines are compared with lines, pieces with pieces.
 
 1. Each paragraph's 5-word shingles give a minimum for each band. Tasks send each band's key
    once, and learn which keys occur elsewhere: nearly all paragraphs share none and are done.
 2. The others come again with their shingles. Different ones that share a band's key are compared; pairs with a Jaccard
    similarity of 0.8 are links; linked paragraphs are clusters. One occurrence of a cluster stays.
-3. Neighbouring paragraphs of a document form a run. Runs of fewer than 12 words are chance, and are left alone.
+3. Neighbouring pieces of a document form a run. Runs of fewer than 12 words are chance, and are left alone; lines are not.
+4. Pieces that say no more than the lines around them are not named.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 from .components import components, forest
 
-SHINGLE, REACH, LONGEST = 5, 6, 64
+SHINGLE, REACH, LONGEST = 5, 4, 64
 #: At similarity 0.8 a pair shares one of 3 bands of 1 with probability 1 - (1 - 0.8)^3 = 0.992. Texts that differ share
 #: hardly any five words in a row, so wider bands would save no comparisons, and for that recall need twice as many keys.
 BANDS, ROWS = 3, 1
 SIMILAR, LEAST_WORDS = 0.8, 12
 BLOCK = 1 << 20
 U = np.uint64
+#: Makes the shingles of lines other numbers than those of pieces.
+LINE = U(0xA24BAED4963EE407)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,8 +56,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of all texts, and the number of words of each text; white space is that of ASCII."""
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of all texts, the number of words of each text, and which words begin a line; white space is that of ASCII."""
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     size = 1 << max(16, int(len(flat)).bit_length())
     up, down, letters = _powers(size)
@@ -65,17 +68,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(start, ends)
-    return h, np.diff(np.concatenate([[0], upto]))
+    line = np.cumsum((flat == 10) | (flat == 13))[start]  # a text's end counts as a line end
+    return h, np.diff(np.concatenate([[0], upto])), np.concatenate([[True], line[1:] != line[:-1]])[: len(h)]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of all texts, and the number of words of each text."""
+    return _words(texts)[:2]
 
 
 class Paragraphs:
-    """The paragraphs of some texts: text, first word in its text, words, shingles (of all, with the first of each) and content."""
+    """The paragraphs of some texts, pieces before lines: text, first word in its text, words, whether a line, shingles (of all, with the first of each) and content."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        w, sizes = word_hashes(texts)
+        w, sizes, begins_line = _words(texts)
         n = len(w)
         text = np.repeat(np.arange(len(texts)), sizes)
         self.text = self.first = self.words = np.zeros(0, np.int64)
+        self.line = np.zeros(0, bool)
         self.shingles, self.at, self.content = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         if n < SHINGLE:
             return
@@ -94,8 +104,11 @@ class Paragraphs:
             more = [np.arange(a, a + m, LONGEST) for a, m in zip(first[length > LONGEST], length[length > LONGEST], strict=True)]
             first = np.union1d(first, np.concatenate(more))
             length = np.diff(np.append(first, n))
+        whole = np.flatnonzero(begins_line)
+        self.line = np.repeat([False, True], [len(first), len(whole)])
+        first, length = np.concatenate([first, whole]), np.concatenate([length, np.diff(np.append(whole, n))])
         keep = length >= SHINGLE
-        first, length = first[keep], length[keep]
+        first, length, self.line = first[keep], length[keep], self.line[keep]
         with np.errstate(over="ignore"):
             s = np.zeros(n - SHINGLE + 1, np.uint64)
             for k in range(SHINGLE):
@@ -104,10 +117,15 @@ class Paragraphs:
         m = length - SHINGLE + 1
         at = np.cumsum(m) - m
         where = np.arange(m.sum()) - np.repeat(at, m) + np.repeat(first, m)
-        self.text, self.words, self.shingles, self.at = text[first], length, s[where], at
+        self.text, self.words, self.at = text[first], length, at
+        self.shingles = s[where] ^ np.where(np.repeat(self.line, m), LINE, U(0))
         self.first = first - (np.cumsum(sizes) - sizes)[self.text]
         self.content = mix(np.add.reduceat(mix(self.shingles), at) + length.astype(np.uint64)) if len(at) else self.content
 
+    def code(self, skip: np.ndarray) -> np.ndarray:
+        """Twice the first word, counted with the words before the part, and one more for a line."""
+        return 2 * (self.first + skip[self.text]) + self.line
+
     def bands(self) -> np.ndarray:
         """BANDS keys for each paragraph."""
         keys = np.zeros((BANDS, len(self.at)), np.uint64)
@@ -121,14 +139,16 @@ class Paragraphs:
 
 
 def blocks(ids: list[int], texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """(id, number of words before, text) of about BLOCK bytes; longer texts come in parts cut at white space."""
+    """(id, number of words before, text) of about BLOCK bytes; longer texts come in parts cut at line ends, or else at white space."""
     row, skip, held, size = [], [], [], 0
     for i, t in zip(ids, texts, strict=True):
         b, at, before = (t or "").encode("utf-8", "surrogatepass").lower(), 0, 0
         while at < len(b):
             end = min(len(b), at + 2 * BLOCK)
             if end < len(b):
-                space = np.flatnonzero(_IS_SPACE[np.frombuffer(b[at:end], np.uint8)])
+                raw = np.frombuffer(b[at:end], np.uint8)
+                space = np.flatnonzero(raw == 10)
+                space = space if len(space) else np.flatnonzero(_IS_SPACE[raw])
                 end = at + int(space[-1]) + 1 if len(space) else end
             part = b[at:end] if end - at < len(b) else b
             row.append(i)
@@ -166,7 +186,7 @@ def _dealt(shards: int, shard: np.ndarray, *columns: np.ndarray) -> pa.RecordBat
 
 
 def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
-    """(doc_id, first): the paragraphs that share a band's key with another; some twice.
+    """(doc_id, code): the paragraphs, by Paragraphs.code, that share a band's key with another; some twice.
 
     docs: doc_id, text. A task sends each key it meets once in every `held` entries: with the paragraph
     if it has met the key once, and with none, having flagged its own, if more often.
@@ -196,7 +216,7 @@ def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
                 k = p.bands()
                 keys.append(k.ravel())
                 ids.append(np.tile(row[p.text], BANDS))
-                firsts.append(np.tile((p.first + skip[p.text]).astype(np.int32), BANDS))
+                firsts.append(np.tile(p.code(skip).astype(np.int32), BANDS))
                 n += k.size
                 if n >= held:
                     yield from flush()
@@ -217,9 +237,9 @@ def suspects(docs: DataFrame, shards: int, held: int = 1 << 21) -> DataFrame:
         doc, first = doc[order], first[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
-        return pa.table({"doc_id": doc[new], "first": first[new].astype(np.int64)})
+        return pa.table({"doc_id": doc[new], "code": first[new].astype(np.int64)})
 
-    return docs.select("doc_id", "text").mapInArrow(send, "shard int, a binary, b binary, c binary").groupBy("shard").applyInArrow(meet, "doc_id bigint, first bigint")
+    return docs.select("doc_id", "text").mapInArrow(send, "shard int, a binary, b binary, c binary").groupBy("shard").applyInArrow(meet, "doc_id bigint, code bigint")
 
 
 def similar(contents: DataFrame, shards: int, least: float = SIMILAR) -> DataFrame:
@@ -297,19 +317,25 @@ def _doubtful(parts: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: int | None = None) -> DataFrame:
-    """One row for each paragraph that has a similar one elsewhere: doc_id, first_word, n_words, cluster_doc, cluster_word, cluster_size, kept.
+    """One row for each paragraph that has a similar one elsewhere: doc_id, first_word, n_words, cluster_doc, cluster_word, cluster_size, kept, line.
 
     Words are counted from 0 between ASCII white space. (cluster_doc, cluster_word) names the cluster by its first
-    occurrence, which is the one that is kept. Paragraphs in runs of fewer than least_words words are not returned.
+    occurrence, which is the one that is kept. Pieces in runs of fewer than least_words words are not returned, and neither are
+    those of a cluster that lies in repeated lines throughout, and first in the lines' first occurrence: the lines' rows say the same.
     Null and empty texts, and those of fewer than five words, have no paragraphs. Rows without an id are not compared.
     A row that repeats another's id and text is compared with it as one of two documents, but they are returned as one.
     """
+    return _named(docs, least_words, shards).drop("same")
+
+
+def _named(docs: DataFrame, least_words: int, shards: int | None = None) -> DataFrame:
+    """repeated_passages() with `same`: whether the content is that of the cluster's first occurrence, and not one similar to it."""
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards or max(64, 4 * d.rdd.getNumPartitions())
-    found = cut(suspects(d, shards).groupBy("doc_id").agg(F.sort_array(F.collect_set("first")).alias("firsts")))
-    mine = _maybe(d, found).join(found, "doc_id").select("doc_id", "text", "firsts")
+    found = cut(suspects(d, shards).groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("codes")))
+    mine = _maybe(d, found).join(found, "doc_id").select("doc_id", "text", "codes")
 
     def again(batches):
         told: set[int] = set()  # contents whose shingles this task has sent, up to a number; sending some twice does no harm
@@ -321,7 +347,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: i
             for row, skip, texts in blocks(ids, b.column(1).to_pylist()):
                 p = Paragraphs(texts)
                 first, doc = p.first + skip[p.text], row[p.text]
-                keep = np.flatnonzero([f in wanted[x] for x, f in zip(doc.tolist(), first.tolist(), strict=True)])
+                keep = np.flatnonzero([f in wanted[x] for x, f in zip(doc.tolist(), p.code(skip).tolist(), strict=True)])
                 ends, content = np.append(p.at[1:], len(p.shingles)), p.content.view(np.int64)
                 sets = []
                 for k in keep.tolist():
@@ -330,28 +356,42 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, shards: i
                     told.add(c)
                 if len(told) > 1 << 18:
                     told.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(first[keep]), pa.array(p.words[keep]), pa.array(content[keep]), pa.array(sets, pa.binary())], ["doc_id", "first_word", "n_words", "content", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(first[keep]), pa.array(p.words[keep]), pa.array(p.line[keep]), pa.array(content[keep]), pa.array(sets, pa.binary())], ["doc_id", "first_word", "n_words", "line", "content", "shingles"])
 
-    parts = cut(mine.mapInArrow(again, "doc_id bigint, first_word bigint, n_words bigint, content bigint, shingles binary"))
+    parts = cut(mine.mapInArrow(again, "doc_id bigint, first_word bigint, n_words bigint, line boolean, content bigint, shingles binary"))
     roots = components(similar(_doubtful(parts), shards))
-    where = parts.select("doc_id", "first_word", "n_words", "content").distinct()
-    named = where.join(roots, where["content"] == roots["node"], "left").select("doc_id", "first_word", "n_words", F.coalesce("root", "content").alias("root"))
-    clusters = named.groupBy("root").agg(F.min(F.struct("doc_id", "first_word")).alias("lead"), F.count(F.lit(1)).alias("cluster_size"))
+    where = parts.select("doc_id", "first_word", "n_words", "line", "content").distinct()
+    named = where.join(roots, where["content"] == roots["node"], "left").select("doc_id", "first_word", "n_words", "line", "content", F.coalesce("root", "content").alias("root"))
+    clusters = named.groupBy("root").agg(F.min(F.struct("doc_id", "first_word", "n_words", "content")).alias("lead"), F.count(F.lit(1)).alias("cluster_size"))
     named = cut(named)
-    by_doc = W.partitionBy("doc_id").orderBy("first_word")
-    out = named.join(clusters.where("cluster_size > 1"), "root")
+    by_doc = W.partitionBy("doc_id", "line").orderBy("first_word")
+    out = named.join(clusters.where("cluster_size > 1"), "root").repartition("doc_id")
     out = out.withColumn("run", F.sum(F.when(F.col("first_word") == F.lag(F.col("first_word") + F.col("n_words")).over(by_doc), 0).otherwise(1)).over(by_doc))
-    out = out.withColumn("words", F.sum("n_words").over(W.partitionBy("doc_id", "run"))).where(F.col("words") >= least_words)
+    out = out.withColumn("words", F.sum("n_words").over(W.partitionBy("doc_id", "line", "run"))).where(F.col("line") | (F.col("words") >= least_words))
     lead = F.col("lead")
-    return out.select("doc_id", "first_word", "n_words", lead["doc_id"].alias("cluster_doc"), lead["first_word"].alias("cluster_word"), "cluster_size", ((lead["doc_id"] == F.col("doc_id")) & (lead["first_word"] == F.col("first_word"))).alias("kept"))
+    out = out.withColumn("kept", (lead["doc_id"] == F.col("doc_id")) & (lead["first_word"] == F.col("first_word")))
+    # lines do not overlap, so the last one that begins before a piece ends is the only one it can lie in
+    around = F.last(F.when(F.col("line"), F.struct("first_word", "n_words", "lead", "kept")), True).over(W.partitionBy("doc_id").orderBy("first_word", F.col("line").desc()))
+    within = lambda at, n, first, words: (at >= first) & (at + n <= first + words)
+    told = within(F.col("first_word"), F.col("n_words"), around["first_word"], around["n_words"]) & (around["kept"] == F.col("kept")) & (around["lead"]["doc_id"] == lead["doc_id"])
+    told = told & within(lead["first_word"], lead["n_words"], around["lead"]["first_word"], around["lead"]["n_words"])
+    out = cut(out.select("root", "doc_id", "first_word", "n_words", lead["doc_id"].alias("cluster_doc"), lead["first_word"].alias("cluster_word"), "cluster_size", "kept", "line", (F.col("content") == lead["content"]).alias("same"), (~F.col("line") & F.coalesce(told, F.lit(False))).alias("told")))
+    wholly = out.where("not line").groupBy("root").agg(F.bool_and("told").alias("all_told")).where("all_told").select("root")
+    return out.where("not told").unionByName(out.where("told").join(wholly, "root", "left_anti")).drop("root", "told")
 
 
 def remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs, with all their columns, without the words of repeated paragraphs that are not kept. White space around these goes too."""
+    """docs, with all their columns, without the words of repeated paragraphs that are not kept. White space around these goes too.
+
+    A piece that is kept stays in a line that is not, if that is only similar to the line's first occurrence: what this lacks may have no other copy left.
+    """
     import re
 
     space = re.compile("[\x20\t-\r]+")
-    gone = repeated_passages(docs, least_words).where("not kept").groupBy(F.col("doc_id").alias("_gone")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans"))
+    # similar lines first, then pieces, then equal lines: the last has its say
+    rank = F.when(~F.col("line"), 1).when(F.col("same"), 2).otherwise(0)
+    named = _named(docs, least_words).where("not kept or not line").groupBy(F.col("doc_id").alias("_gone"))
+    gone = named.agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "first_word", "n_words", "kept"))).alias("_spans"), F.bool_and("kept").alias("_stays")).where("not _stays")
 
     @F.udf("string")
     def without(text, spans):
@@ -359,12 +399,14 @@ def remove(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             return text
         at = [m.end() for m in space.finditer(text)]
         starts = [0, *at] if not space.match(text) else at
+        gone = np.zeros(len(starts) + 2, bool)
+        for _, first, n, kept in spans:
+            gone[first + 1 : first + n + 1] = not kept
+        edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
         out, last = [], 0
-        for first, n in spans:
-            a = starts[first]
-            b = starts[first + n] if first + n < len(starts) else len(text)
-            out.append(text[last:a])
-            last = b
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            out.append(text[last : starts[a]])
+            last = starts[b] if b < len(starts) else len(text)
         return "".join([*out, text[last:]])
 
     both = docs.join(gone, docs["doc_id"] == gone["_gone"], "left")

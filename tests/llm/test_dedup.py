@@ -260,3 +260,45 @@ def test_paragraphs_do_not_depend_on_blocks():
         assert (together.first[mine] == alone.first).all() and (together.content[mine] == alone.content).all()
     w, sizes = substring_dedup.word_hashes([b"a b  a\tb ", b"", b"b"])
     assert sizes.tolist() == [4, 0, 1] and w[0] == w[2] != w[1] == w[3] == w[4]
+
+
+def test_short_and_long_lines_are_found_amid_other_text(spark):
+    rng = random.Random(12)
+    lines = [words(rng, n) for n in (5, 7, 11, 15, 20, 25, 30, 35, 40, 60) for _ in range(3)]
+    docs = [(k, "\n".join([words(rng, 30), *[f"{t}\r\n{words(rng, 20)}" for t in lines]])) for k in range(3)]
+    near = docs[2][1].replace(lines[-1], lines[-1].rsplit(" ", 2)[0] + " other end")  # 54 of 58 shingles
+    docs[2] = (2, near)
+    got = {(r.doc_id, r.first_word): r for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, DOCS)).where("line").collect()}
+    at, want = 30, set()
+    for t in lines:
+        want |= {(d, at, len(t.split())) for d in range(3)}
+        at += len(t.split()) + 20
+    assert {(d, f, r.n_words) for (d, f), r in got.items()} == want
+    assert all(r.cluster_doc == 0 and r.cluster_size == 3 and r.kept == (r.doc_id == 0) for r in got.values())
+    left = {r.doc_id: r.text for r in substring_dedup.remove(spark.createDataFrame(docs, DOCS)).collect()}
+    assert left[0] == docs[0][1] and len(left[1].split()) == 30 + 20 * len(lines) and 610 <= len(left[2].split()) < 700
+
+
+def test_a_kept_piece_stays_in_a_line_that_goes(spark):
+    rng = random.Random(13)
+    common, mine = words(rng, 400), words(rng, 60)
+    docs = [(1, common), (2, f"{common} {mine}"), (3, f"{words(rng, 60)} {mine} {words(rng, 50)}")]
+    left = {r.doc_id: r.text for r in substring_dedup.remove(spark.createDataFrame(docs, DOCS)).collect()}
+    shared = lambda t: {w for w in mine.split() if w in t.split()}
+    assert left[1] == common and len(left[2].split()) < 80 and len(shared(left[2] + " " + left[3])) == len(set(mine.split()))
+
+
+def test_passages_over_fifty_words_have_a_run_inside():
+    rng = random.Random(14)
+    for n, share in ((20, 0.2), (30, 0.8), (51, 0.999)):
+        found = 0
+        for _ in range(2000):
+            p = words(rng, n)
+            a, b = (substring_dedup.Paragraphs([f"{words(rng, 20)} {p} {words(rng, 20)}".encode()]) for _ in range(2))
+            both = sorted({(f, m) for f, m, c, line in zip(a.first, a.words, a.content, a.line, strict=True) if not line and c in set(b.content[~b.line].tolist())})
+            run = best = 0
+            for k, (f, m) in enumerate(both):
+                run = m + (run if k and both[k - 1][0] + both[k - 1][1] == f else 0)
+                best = max(best, run)
+            found += best >= substring_dedup.LEAST_WORDS
+        assert found >= share * 2000, (n, found)
