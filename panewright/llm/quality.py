@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-The model is fitted on trusted documents, every document is scored, and a language's threshold is
-a high quantile of its trusted documents' perplexities. Short texts are drawn towards the
+The model is fitted on a sample of the trusted documents, every document is scored, and a language's threshold is
+a high quantile of the perplexities of all its trusted documents, in the sample or not. Short texts are drawn towards the
 trusted mean by as many symbols as `prior` says, so that a single rare word condemns none.
 """
 
@@ -21,9 +21,13 @@ SLACK = 0.05
 PRIOR = 100
 
 
-def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """(trusted_id): at most `most` ids of quality 1, chosen by hash; those without an id or label don't count."""
-    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+def trusted(labels: DataFrame) -> DataFrame:
+    """(trusted_id): the ids of quality 1; those without an id or label don't count."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+
+
+def sample(ids: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
+    """At most `most` of the ids in trusted()'s result, chosen by hash."""
     return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
 
 
@@ -34,17 +38,21 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED, quant
     documents, and a null one, has the threshold of all trusted documents together; if there are none at all, all with
     text are kept. Ties with the threshold are kept. Repeated rows are scored each.
     """
-    ids = F.broadcast(cut(trusted(labels, most)))  # `most` ids at most
-    d = docs.select("doc_id", "text", "lang").join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "text", "lang", F.col("trusted_id").isNotNull().alias("trusted"))
-    model = charlm.fit(cut(charlm.count(d.where("trusted"), {"n": "trusted"})), "n")
-    s = cut(charlm.score(d, [model], ["bits"], keep=("lang", "trusted")))
+    ids = trusted(labels)
+    few = F.broadcast(cut(sample(ids, most)))  # `most` ids at most
+    d = docs.select("doc_id", "text", "lang")
+    fitted = d.join(few, F.col("doc_id") == F.col("trusted_id")).select("text", F.lit(True).alias("fitted"))
+    model = charlm.fit(cut(charlm.count(fitted, {"n": "fitted"})), "n")
+    # mean and limits are over all trusted documents: labels grow with the corpus, so the join is a merge whatever their size
+    s = charlm.score(d, [model], ["bits"], keep=("lang",)).join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
+    s = cut(s.withColumn("trusted", F.col("trusted_id").isNotNull()).drop("trusted_id"))
     good = s.where("trusted and n_symbols > 0")
     mean = good.agg((F.sum("bits") / F.sum("n_symbols")).alias("m")).first().m
     loss = (F.col("bits") + prior * F.lit(mean or 0.0)) / (F.col("n_symbols") + prior)
     limits = good.withColumn("loss", loss)
     high = F.percentile_approx("loss", quantile, 10_000) + F.lit(slack)
     every = limits.agg(high.alias("x")).first().x
-    by = F.broadcast(limits.where("lang is not null").groupBy("lang").agg(high.alias("limit")))  # a row for each language of `most` documents
+    by = F.broadcast(limits.where("lang is not null").groupBy("lang").agg(high.alias("limit")))  # a row for each language
     out = s.withColumn("loss", loss).join(by, "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(every).cast("double")))
     some = F.col("n_symbols") > 0
     return out.select("doc_id", "lang", "n_symbols", F.when(some, F.pow(F.lit(2.0), "loss")).alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"), (some & F.coalesce(F.col("loss") <= F.col("limit"), F.lit(True))).alias("kept"))

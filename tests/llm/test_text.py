@@ -300,6 +300,20 @@ def test_quality_edges(spark, scored):
     assert quality.classify(odd.where("false"), labels).count() == 0
 
 
+def test_quality_thresholds_cover_all_trusted_documents(spark):
+    rng = random.Random(3)
+    docs = [(k, "".join(rng.choice("abcdefgh " if k % 3 else "nopq rst") for _ in range(20 + 7 * k)), "xyz"[k % 3]) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 5 > 0)) for k in range(30)], "doc_id long, quality int")
+    plain, got = ({r.doc_id: r for r in quality.classify(df, labels, most=2, prior=p).collect()} for p in (0, 100))
+    bits = {k: r.n_symbols * math.log2(r.perplexity) for k, r in plain.items()}
+    good = [k for k in range(30) if k % 5]
+    mean = sum(bits[k] for k in good) / sum(plain[k].n_symbols for k in good)
+    for k, r in got.items():
+        assert math.log2(r.perplexity) == pytest.approx((bits[k] + 100 * mean) / (r.n_symbols + 100))
+        assert r.threshold == pytest.approx(2**quality.SLACK * max(got[x].perplexity for x in good if x % 3 == k % 3))
+
+
 def test_cross_entropy_difference(spark, scored):
     docs, labels, known = scored
     got = lm_scoring.cross_entropy_difference(docs, labels).collect()
