@@ -1,37 +1,80 @@
 """LM scoring by cross-entropy difference.
 
-A target model is fitted on the documents labelled good, a background model on all documents; both are modified
-Kneser-Ney models of one order over one alphabet. A document's score is its loss a symbol under the target
+A target model is fitted on the documents labelled good, a background model on all documents; both are interpolated modified
+Kneser-Ney models of word pairs over one vocabulary, that of all documents. A document's score is its loss a symbol under the target
 model less that under the background model: the lower, the more it is like the target.
+
+Symbols are words, digits, marks, single ideographs and kana, and the end of a text; 64-bit hashes stand for them. Pairs are counted by document,
+summed over documents, and joined with the totals of their histories and with the lower order as tables
+that are shuffled and grow with the corpus; nothing is broadcast or cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import charlm
+from .charlm import discounts
 from .common import cut
 
+WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+|\p{N}|[^\s\p{L}\p{M}\p{N}]"
+MODELS = ("target", "background")
+
 
 def targets(labels: DataFrame) -> DataFrame:
     """(target_id): the documents of quality 1 that are not toxic."""
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("target_id")).distinct()
 
 
+def symbols(text: Column) -> Column:
+    """The words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+
+def _offs(table: DataFrame) -> dict[str, Column]:
+    """What is taken off each model's counts in table."""
+    ns = table.agg(*[F.count(F.when(F.col(m) == k, 1)).alias(f"{m}{k}") for m in MODELS for k in (1, 2, 3, 4)]).first()
+    out = {}
+    for m in MODELS:
+        d, c = discounts([ns[f"{m}{k}"] for k in (1, 2, 3, 4)]), F.col(m)
+        out[m] = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+    return out
+
+
+def losses(pairs: DataFrame) -> DataFrame:
+    """(h, w, target_bits, background_bits): minus the log2 probability of w after h under both models, for the rows of pairs (h, w, target, background)."""
+    words = cut(pairs.groupBy("w").agg(*[F.count(F.when(F.col(m) > 0, 1)).alias(m) for m in MODELS]))
+    off = _offs(words)
+    sums = words.agg(F.count(F.lit(1)).alias("v"), *[x for m in MODELS for x in (F.sum(m).alias(m), F.sum(off[m]).alias(f"{m}_given"))]).first()
+    uniform = 1.0 / max(1, sums["v"])
+    # a model without pairs is uniform over the vocabulary
+    lower = words.select("w", *[((F.col(m) - off[m] + sums[f"{m}_given"] * uniform) / sums[m] if sums[m] else F.lit(uniform)).alias(f"{m}_low") for m in MODELS])
+    off = _offs(pairs)
+    histories = pairs.groupBy("h").agg(*[x for m in MODELS for x in (F.sum(m).alias(f"{m}_total"), F.sum(off[m]).alias(f"{m}_given"))])
+    p = lambda m: F.when(F.col(f"{m}_total") > 0, (F.col(m) - off[m] + F.col(f"{m}_given") * F.col(f"{m}_low")) / F.col(f"{m}_total")).otherwise(F.col(f"{m}_low"))
+    return pairs.join(histories, "h").join(lower, "w").select("h", "w", *[(-F.log2(p(m))).alias(f"{m}_bits") for m in MODELS])
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_symbols, target_loss, background_loss, score, in bits a symbol.
 
-    Null and empty texts have null losses and score. Counts cover all documents: every row of docs
+    Null and empty texts, and those of white space, have no symbols and null losses and score. Counts cover all documents: every row of docs
     counts for the background, repeated ones as often as they occur, and every labelled one for the target. Without
     target documents the target model is uniform.
     """
-    d = docs.select("doc_id", "text")
+    d = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
     # a merge join whatever the tables' sizes: labels grow with the corpus, and a plan that changes with size is one that was never tried
-    marked = d.join(targets(labels).hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"), F.lit(True).alias("is_any"))
-    counts = cut(charlm.count(marked, {"target": "is_target", "background": "is_any"}))
-    models = [charlm.fit(counts, "target"), charlm.fit(counts, "background")]
-    s = charlm.score(d, models, ["target_bits", "background_bits"])
-    n = F.when(F.col("n_symbols") > 0, F.col("n_symbols"))
-    t, b = F.col("target_bits") / n, F.col("background_bits") / n
-    return s.select("doc_id", "n_symbols", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
+    marked = d.join(targets(labels).hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
+    hashed = F.transform(symbols(F.col("text")), lambda x: F.xxhash64(x))
+    lists = marked.select("k1", "k2", F.col("target_id").isNotNull().cast("long").alias("t"), hashed.alias("s")).where("size(s) > 0")
+    ends = F.array(F.lit(0).cast("long"))  # before a text and after it
+    each = lists.select("k1", "k2", "t", F.explode(F.arrays_zip(F.concat(ends, "s").alias("h"), F.concat("s", ends).alias("w"))).alias("p"))
+    # equal texts are scored once; the ratio of loss to symbols is the same for them
+    grams = cut(each.select("k1", "k2", "t", F.col("p")["h"].alias("h"), F.col("p")["w"].alias("w")).groupBy("k1", "k2", "h", "w").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("background")))
+    pairs = cut(grams.groupBy("h", "w").agg(*[F.sum(m).alias(m) for m in MODELS]))
+    n = F.sum("background")
+    by_text = grams.select("k1", "k2", "h", "w", "background").join(losses(pairs), ["h", "w"]).groupBy("k1", "k2")
+    loss = by_text.agg(*[(F.sum(F.col("background") * F.col(f"{m}_bits")) / n).alias(f"{m}_loss") for m in MODELS])
+    size = F.size(symbols(F.coalesce("text", F.lit(""))))
+    s = d.select("doc_id", "k1", "k2", F.when(size > 0, size + 1).otherwise(0).cast("long").alias("n_symbols")).join(loss, ["k1", "k2"], "left")
+    return s.select("doc_id", "n_symbols", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -324,3 +324,43 @@ def test_cross_entropy_difference(spark, scored):
     odd = spark.createDataFrame([(1, None), (2, ""), (2, "ab"), (None, "ab")], DOCS)
     few = sorted(((r.doc_id, r.n_symbols, r.score is None) for r in lm_scoring.cross_entropy_difference(odd, labels.where("false")).collect()), key=str)
     assert few == sorted([(1, 0, True), (2, 0, True), (2, 2, False), (None, 2, False)], key=str)
+
+
+def test_word_pairs_against_dictionaries(spark):
+    rng = random.Random(7)
+    texts_ = [" ".join(rng.choice(["tea", "milk", "Дом", "кот", "sun", "moon", "rain"][: 3 + k % 5]) for _ in range(3 + k)) for k in range(14)]
+    texts_ += [texts_[3], "слово раз", "猫犬 7"]
+    good = {k for k in range(len(texts_)) if k % 3 == 0}
+
+    def pairs(t):
+        w = [x for part in t.lower().split() for x in (part if part == "猫犬" else [part])]
+        return list(zip(["", *w], [*w, ""], strict=True))
+
+    vocabulary = {w for t in texts_ for _, w in pairs(t)}
+
+    def model(which):
+        c = Counter(p for k in which for p in pairs(texts_[k]))
+        low = Counter(w for _, w in c)
+        offs = []
+        for x in (c, low):
+            n = Counter(x.values())
+            offs.append(charlm.discounts([n[k] for k in (1, 2, 3, 4)]))
+        off = lambda v, k: offs[k][min(v, 3) - 1] if v else 0.0
+
+        def p(h, w):
+            total = sum(low.values())
+            below = (low[w] - off(low[w], 1) + sum(off(v, 1) for v in low.values()) / len(vocabulary)) / total
+            mine = [v for (a, _), v in c.items() if a == h]
+            return (c[h, w] - off(c[h, w], 0) + sum(off(v, 0) for v in mine) * below) / sum(mine) if mine else below
+
+        return p
+
+    t, b = model(good), model(range(len(texts_)))
+    df, labels = spark.createDataFrame(list(enumerate(texts_)), DOCS), spark.createDataFrame([(k, 1, 0) for k in good], "doc_id long, quality int, toxic int")
+    got = lm_scoring.cross_entropy_difference(df, labels).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(texts_)))
+    for r in got:
+        x = pairs(texts_[r.doc_id])
+        assert r.n_symbols == len(x)
+        assert r.target_loss == pytest.approx(-sum(math.log2(t(*p)) for p in x) / len(x))
+        assert r.background_loss == pytest.approx(-sum(math.log2(b(*p)) for p in x) / len(x))
