@@ -8,6 +8,9 @@ No piece crosses the place before a space mark, nor a character that only stands
 path of a text is made of those of the segments between. Integer scores, as the public file has,
 add up without rounding, so this holds for ties, too; a vocabulary with others is scored whole. What was counted
 is kept in a table of bounded size.
+
+The query's file, piece_bpe_32k.model, defines a BPE tokenizer; the public package has no unigram file. Its pieces and scores are read as
+a Unigram model, without its normalizer, so counts are not those of the file's own tokenizer.
 """
 
 from __future__ import annotations
