@@ -63,9 +63,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, without the documents of which an equal one stays. Each id stays once."""
-    drop = exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
+    """docs, with all their columns, with one row of each group of equal texts: that of the largest id, and of those the one of the greatest text. Null ids are less than others."""
+    same = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    row = F.max_by(F.struct(*docs.columns), F.struct(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.groupBy(same.alias("_same")).agg(row.alias("_row")).select("_row.*")
 
 
 ORACLE = """

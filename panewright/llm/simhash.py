@@ -286,6 +286,21 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, with one document of each component."""
-    gone = simhash_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs, with all their columns, with one row of each component: that of the smallest id, null ids after all others, and of equal ids one with the least fingerprint and text."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def add(batches):
+        for b in batches:
+            fp = [x.column(1) for x in _fingerprints(iter([pa.RecordBatch.from_arrays([b.column(names.index(id_col)), b.column(names.index(text_col))], ["id", "text"])]))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(fp) if fp else pa.array([], pa.int64())], [*names, "_fp"])
+
+    rows = docs.mapInArrow(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", `_fp` bigint")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    best = cut(rows.groupBy("_fp").agg(F.min_by(F.struct(*names), order).alias("_row")))
+    points = best.select(F.col("_fp").alias("fp"), F.col("_row")[id_col].alias("least"))
+    roots = components(links(points.select("fp")))
+    linked = cut(points.join(roots, points["fp"] == roots["node"]).select("root", "fp", "least"))
+    first = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), "least", "fp")).alias("m")).select(F.col("m")["fp"].alias("fp"))
+    gone = linked.join(first, "fp", "left_anti").select("fp")
+    return best.join(gone, best["_fp"] == gone["fp"], "left_anti").select("_row.*")

@@ -302,3 +302,14 @@ def test_passages_over_fifty_words_have_a_run_inside():
                 best = max(best, run)
             found += best >= substring_dedup.LEAST_WORDS
         assert found >= share * 2000, (n, found)
+
+
+@pytest.mark.parametrize("keep_one", [exact_dedup.keep_one, simhash.keep_one])
+def test_one_row_of_a_group_stays(spark, keep_one):
+    rng = random.Random(15)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(7, a, 1), (7, b, 2), (9, b, 3), (2, c, 4), (2, c, 4), (None, d, 5), (None, d, 6), (None, a, 7)]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, more long"))
+    assert got.columns == ["doc_id", "text", "more"]
+    kept = sorted(((r.text, r.doc_id) for r in got.collect()), key=str)
+    assert kept == sorted([(a, 7), (b, 9 if keep_one is exact_dedup.keep_one else 7), (c, 2), (d, None)], key=str)
