@@ -32,6 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, by: str) -> DataFrame:
+    """df as by cut(), dealt by the hash of one column, so that later joins and groups on it don't move it again.
+
+    A plan that adapts at run time forgets how its rows lie; so this one action is planned ahead.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by))
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps a batch of long texts well inside a Python worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

@@ -1,24 +1,34 @@
 """LM scoring by cross-entropy difference.
 
-A target model is fitted on the documents labelled good, a background model on all documents; both are interpolated modified
-Kneser-Ney models of word pairs over one vocabulary, that of all documents. A document's score is its loss a symbol under the target
-model less that under the background model: the lower, the more it is like the target.
-
-Symbols are words, digits, marks, single ideographs and kana, and the end of a text; 64-bit hashes stand for them. Pairs are counted by document,
-summed over documents, and joined with the totals of their histories and with the lower order as tables
-that are shuffled and grow with the corpus; nothing is broadcast or cut off.
+Three interpolated modified Kneser-Ney models of word pairs share one vocabulary, that of all documents: the target model has the documents
+labelled good, the background model as many words of documents drawn by hash from all, and the corpus model all documents. A document's
+score is its loss a symbol under the target model less that under the background model: the lower, the more it is like the target. Each document is
+scored with its own counts taken out, so that those a model was fitted on are judged like others.
+
+Symbols are words, digits, marks, single ideographs and kana, and the end of a text. Texts are kept in blocks (see blocks.py), which lie where their number says
+and are not moved again. Of each block the different pairs go to the shards that add them up, and the sums come back; then the same for words, as histories and as followers.
+What is shuffled grows with the corpus; nothing is broadcast or cut off. A pair or word is known by 48 bits of a hash and its shard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .charlm import discounts
-from .common import cut
+from .blocks import blocks, by_shard, chunks, pack, pack_sorted, spread, unpack, unpack_sorted
+from .common import cut, placed
+from .substring_dedup import mix
 
-WORDS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+|\p{N}|[^\s\p{L}\p{M}\p{N}]"
-MODELS = ("target", "background")
+WORDS = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]|[[\p{L}\p{M}]--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]]+|\p{N}|[^\s\p{L}\p{M}\p{N}]", regex.V1)
+MODELS = ("target", "background", "corpus")
+U = np.uint64
+#: Symbols of the corpus for each shard that counts.
+SHARD = 1 << 22
 
 
 def targets(labels: DataFrame) -> DataFrame:
@@ -26,55 +36,219 @@ def targets(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("target_id")).distinct()
 
 
-def symbols(text: Column) -> Column:
-    """The words of a text, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-
+def symbols(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(each symbol, as its place in the third; symbols of each text; the different ones, most frequent first). The end of a text is the symbol ""; texts without others have no end."""
+    chunk, sizes, different = chunks(texts)
+    known = {"": 0}
+    found, n = [], np.zeros(len(different), np.int64)
+    for k, c in enumerate(different):
+        before = len(found)
+        found += [known.setdefault(m[0], len(known)) for m in WORDS.finditer(c.lower())]
+        n[k] = len(found) - before
+    found, start = np.array(found, np.int64), np.cumsum(n) - n
+    text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n[chunk])
+    seq, of = found[spread(start[chunk], n[chunk])], np.bincount(text, minlength=len(sizes))
+    ends = np.cumsum(of)[of > 0]
+    seq = np.insert(seq, ends, 0)
+    count = np.bincount(seq, minlength=len(known))
+    place = np.empty(len(known), np.int64)
+    place[np.argsort(-count, kind="stable")] = np.arange(len(known))
+    names = list(known)
+    return place[seq], of + (of > 0), [names[k] for k in np.argsort(place)]
+
+
+def read(docs: DataFrame, kind: str) -> DataFrame:
+    """docs (id, text, luck) as rows (block, ids, n, luck, seq, words): symbols by block."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 32
+        for t in blocks(batches, 1):
+            seq, n, names = symbols(t.column(1))
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))
+            ids, luck = t.column(0).combine_chunks(), t.column(2).to_numpy().astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([n.astype(np.int64)]), pa.array([pack(luck)], pa.binary()), pa.array([pack(seq.astype(np.uint32))], pa.binary()), pa.array([words.tobytes()], pa.binary())], ["block", "ids", "n", "luck", "seq", "words"])
+            at += 1
+
+    return placed(docs.mapInArrow(run, f"block bigint, ids array<{kind}>, n array<bigint>, luck binary, seq binary, words binary"), "block")
+
+
+class Block:
+    """The pairs of a block, from a row of read() with `at`, the places of its target documents."""
+
+    def __init__(self, row: dict, rate: float, shards: int) -> None:
+        self.n = np.array(row["n"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.v = len(self.words)
+        w = unpack(row["seq"], np.uint32).astype(np.int64)
+        end = int(w[-1]) if len(w) else 0  # a text's end stands before the next text
+        pair = np.concatenate([[end], w[:-1]]) * self.v + w if len(w) else w
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        #: the different pairs, and which of them each symbol makes with the one before
+        self.pairs, self.of = np.unique(pair, return_inverse=True)
+        self.h, self.w = np.divmod(self.pairs, max(1, self.v))
+        target = np.zeros(len(self.n), bool)
+        target[np.array(row["at"] or [], np.int64)] = True
+        #: for each model, whether it has the document
+        self.has = [target, unpack(row["luck"], np.uint32) < rate * 2**32, np.ones(len(self.n), bool)]
+        self.counts = [np.bincount(self.of, has[self.doc], len(self.pairs)).astype(np.uint64) for has in self.has]
+        self.order, self.keys, self.edges = by_shard(mix(self.words[self.h] * U(0x9E3779B97F4A7C15) + mix(self.words[self.w])), shards)
+        self.word_order, self.word_keys, self.word_edges = by_shard(self.words, shards)
+
+    def sums(self, answers: list[bytes], order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The numbers that came back for each key, a row for each kind of number, in the block's own order."""
+        parts = [unpack(a, np.uint64).reshape(-1, e - s) for a, s, e in zip(answers, edges[:-1][np.diff(edges) > 0], edges[1:][np.diff(edges) > 0], strict=True)]
+        got = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.uint64)
+        out = np.empty((len(got), len(order)), np.int64)
+        out[:, order] = got
+        return out
+
+
+def ask(block: int, keys: np.ndarray, edges: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """Rows (shard, block, keys, numbers) of the shards that have keys."""
+    some = np.flatnonzero(np.diff(edges))
+    parts = [slice(edges[s], edges[s + 1]) for s in some]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)), pa.array([pack_sorted(keys[p]) for p in parts], pa.binary()), pa.array([pack(numbers[:, p].ravel()) for p in parts], pa.binary())], ["shard", "block", "keys", "numbers"])
+
+
+ASKED = "shard int, block bigint, keys binary, numbers binary"
+
+
+def _buckets(sums: np.ndarray) -> list[int]:
+    """How many of a model's numbers are 1, 2, 3, 4, over 0, and their sum."""
+    return [*(int((sums == k).sum()) for k in (1, 2, 3, 4)), int((sums > 0).sum()), int(sums.sum())]
+
+
+def answer(asked: DataFrame, models: slice, first: bool) -> tuple[DataFrame, list[list[int]]]:
+    """(rows (block, shard, numbers) with the sums over all blocks in the order that was asked, for each model its _buckets and in the end the number of keys).
+
+    models: which numbers the buckets are of. first: one more number says whether the block is the first that asks for the key.
+    """
 
-def _offs(table: DataFrame) -> dict[str, Column]:
-    """What is taken off each model's counts in table."""
-    ns = table.agg(*[F.count(F.when(F.col(m) == k, 1)).alias(f"{m}{k}") for m in MODELS for k in (1, 2, 3, 4)]).first()
-    out = {}
-    for m in MODELS:
-        d, c = discounts([ns[f"{m}{k}"] for k in (1, 2, 3, 4)]), F.col(m)
-        out[m] = F.when(c == 0, 0.0).when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+    def add(t: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(x) for x in t.column("keys").to_pylist()]
+        size = [len(p) for p in parts]
+        key = np.concatenate(parts)
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        numbers = np.concatenate([unpack(x, np.uint64).reshape(-1, n) for x, n in zip(t.column("numbers").to_pylist(), size, strict=True)], 1)
+        sums = np.add.reduceat(numbers[:, order], start, axis=1)
+        back = np.empty((len(numbers) + first, len(key)), np.uint64)
+        back[: len(numbers), order] = sums[:, group]
+        if first:
+            back[-1, order] = new
+        cuts = np.cumsum([0, *size])
+        stats = [x for m in sums[models] for x in _buckets(m)] + [len(start)]
+        return pa.table({"block": t.column("block"), "shard": t.column("shard"), "numbers": pa.array([pack(back[:, a:b].ravel()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "stats": pa.array([stats, *[None] * (len(size) - 1)], pa.list_(pa.int64()))})
+
+    got = cut(asked.groupBy("shard").applyInArrow(add, "block bigint, shard int, numbers binary, stats array<bigint>"))
+    stats = got.agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)).alias(f"s{k}") for k in range(6 * len(MODELS) + 1)]).first()
+    return got.drop("stats"), [[stats[6 * m + k] for k in range(6)] for m in range(len(MODELS))] + [[stats[-1]]]
+
+
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """The three discounts from the numbers of grams seen once, twice, three and four times; where these say nothing, a half, one and one and a half."""
+    if min(n) <= 0:
+        return 0.5, 1.0, 1.5
+    y = n[0] / (n[0] + 2 * n[1])
+    return tuple(min(float(k), max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))  # type: ignore[return-value]
+
+
+def _off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(c, 3)]
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts of equal keys in it, group of each in it)."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def losses(b: Block, pairs: np.ndarray, words: np.ndarray, pair_off: list[tuple], word_off: list[tuple], word_stats: list[list[int]], size: int) -> np.ndarray:
+    """Bits of each document under each model, without the document's own counts."""
+    row, x = np.unique(b.doc * max(1, len(b.pairs)) + b.of, return_counts=True)
+    doc, pair = np.divmod(row, max(1, len(b.pairs)))
+    h, w = b.h[pair], b.w[pair]
+    out = np.zeros((len(MODELS), len(b.n)))
+    if not len(row):
+        return out
+    # rows are sorted by document, history and word
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
+    start, of = np.flatnonzero(new), np.cumsum(new) - 1
+    order, followed, follower = _grouped(doc * b.v + w)
+    for m in range(len(MODELS)):
+        own = b.has[m][doc]
+        c = pairs[m][pair]
+        left = c - np.where(own, x, 0)
+        total = words[m][h] - np.add.reduceat(np.where(own, x, 0), start)[of]
+        given = np.zeros(len(row))
+        for k in (1, 2, 3):
+            change = (np.minimum(left, 3) == k).astype(np.int64) - (np.minimum(c, 3) == k)
+            given += pair_off[m][k - 1] * (words[3 + 3 * m + k - 1][h] + np.add.reduceat(change, start)[of])
+        gone = ((c > 0) & (left == 0)).astype(np.int64)
+        after = np.empty(len(row), np.int64)
+        after[order] = np.add.reduceat(gone[order], followed)[follower]
+        follows = words[12 + m][w] - after
+        ones, twos, _, _, some, every = word_stats[m]
+        d = word_off[m]
+        spare = d[0] * ones + d[1] * twos + d[2] * (some - ones - twos)
+        low = (follows - _off(follows, d) + spare / size) / every if every else np.full(len(row), 1.0 / size)
+        p = np.where(total > 0, (left - _off(left, pair_off[m]) + given * low) / np.maximum(total, 1), low)
+        out[m] = np.bincount(doc, -x * np.log2(p), len(b.n))
     return out
 
 
-def losses(pairs: DataFrame) -> DataFrame:
-    """(h, w, target_bits, background_bits): minus the log2 probability of w after h under both models, for the rows of pairs (h, w, target, background)."""
-    words = cut(pairs.groupBy("w").agg(*[F.count(F.when(F.col(m) > 0, 1)).alias(m) for m in MODELS]))
-    off = _offs(words)
-    sums = words.agg(F.count(F.lit(1)).alias("v"), *[x for m in MODELS for x in (F.sum(m).alias(m), F.sum(off[m]).alias(f"{m}_given"))]).first()
-    uniform = 1.0 / max(1, sums["v"])
-    # a model without pairs is uniform over the vocabulary
-    lower = words.select("w", *[((F.col(m) - off[m] + sums[f"{m}_given"] * uniform) / sums[m] if sums[m] else F.lit(uniform)).alias(f"{m}_low") for m in MODELS])
-    off = _offs(pairs)
-    histories = pairs.groupBy("h").agg(*[x for m in MODELS for x in (F.sum(m).alias(f"{m}_total"), F.sum(off[m]).alias(f"{m}_given"))])
-    p = lambda m: F.when(F.col(f"{m}_total") > 0, (F.col(m) - off[m] + F.col(f"{m}_given") * F.col(f"{m}_low")) / F.col(f"{m}_total")).otherwise(F.col(f"{m}_low"))
-    return pairs.join(histories, "h").join(lower, "w").select("h", "w", *[(-F.log2(p(m))).alias(f"{m}_bits") for m in MODELS])
-
-
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_symbols, target_loss, background_loss, score, in bits a symbol.
+    """One row per row of docs: doc_id, n_symbols, target_loss, background_loss, corpus_loss, score, in bits a symbol.
 
-    Null and empty texts, and those of white space, have no symbols and null losses and score. Counts cover all documents: every row of docs
-    counts for the background, repeated ones as often as they occur, and every labelled one for the target. Without
-    target documents the target model is uniform.
+    Null and empty texts, and those of white space, have no symbols and null losses and score. Repeated rows count as often as they occur, in all models, and only
+    one's own row is taken out when it is scored. Further columns are not read. Without target documents the target and the background model are uniform over the vocabulary, and all scores are 0.
     """
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32))
+    b = read(docs.select(F.col("doc_id").alias("id"), "text", luck.alias("luck")), kind)
+    each = b.select("block", F.posexplode(F.arrays_zip("ids", "n")).alias("at", "d")).select("block", "at", F.col("d")["ids"].alias("id"), F.col("d")["n"].alias("n"))
     # a merge join whatever the tables' sizes: labels grow with the corpus, and a plan that changes with size is one that was never tried
-    marked = d.join(targets(labels).hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
-    hashed = F.transform(symbols(F.col("text")), lambda x: F.xxhash64(x))
-    lists = marked.select("k1", "k2", F.col("target_id").isNotNull().cast("long").alias("t"), hashed.alias("s")).where("size(s) > 0")
-    ends = F.array(F.lit(0).cast("long"))  # before a text and after it
-    each = lists.select("k1", "k2", "t", F.explode(F.arrays_zip(F.concat(ends, "s").alias("h"), F.concat("s", ends).alias("w"))).alias("p"))
-    # equal texts are scored once; the ratio of loss to symbols is the same for them
-    grams = cut(each.select("k1", "k2", "t", F.col("p")["h"].alias("h"), F.col("p")["w"].alias("w")).groupBy("k1", "k2", "h", "w").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("background")))
-    pairs = cut(grams.groupBy("h", "w").agg(*[F.sum(m).alias(m) for m in MODELS]))
-    n = F.sum("background")
-    by_text = grams.select("k1", "k2", "h", "w", "background").join(losses(pairs), ["h", "w"]).groupBy("k1", "k2")
-    loss = by_text.agg(*[(F.sum(F.col("background") * F.col(f"{m}_bits")) / n).alias(f"{m}_loss") for m in MODELS])
-    size = F.size(symbols(F.coalesce("text", F.lit(""))))
-    s = d.select("doc_id", "k1", "k2", F.when(size > 0, size + 1).otherwise(0).cast("long").alias("n_symbols")).join(loss, ["k1", "k2"], "left")
-    return s.select("doc_id", "n_symbols", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    good = cut(each.join(targets(labels).hint("merge"), F.col("id") == F.col("target_id")).select("block", "at", "n"))
+    every, mine = (d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for d in (each, good))
+    rate = mine / every if every else 0.0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), every // SHARD)
+    known = b.join(good.groupBy("block").agg(F.collect_list("at").alias("at")), "block", "left")
+
+    def ask_pairs(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = Block(row, rate, shards)
+                yield ask(row["block"], x.keys, x.edges, np.stack(x.counts)[:, x.order])
+
+    def ask_words(l: pa.Table, r: pa.Table) -> pa.Table:
+        row = l.to_pylist()[0]
+        x = Block(row, rate, shards)
+        *sums, first = x.sums(r.sort_by("shard").column("numbers").to_pylist(), x.order, x.edges)
+        add = lambda at, what: np.bincount(at, what, x.v).astype(np.uint64)
+        numbers = [add(x.h, c) for c in x.counts]
+        numbers += [add(x.h, (first == 1) & ((c == k) if k < 3 else (c >= 3))) for c in sums for k in (1, 2, 3)]
+        numbers += [add(x.w, (first == 1) & (c > 0)) for c in sums]
+        return pa.Table.from_batches([ask(row["block"], x.word_keys, x.word_edges, np.stack(numbers)[:, x.word_order])])
+
+    pairs, pair_stats = answer(known.select("block", "n", "luck", "seq", "words", "at").mapInArrow(ask_pairs, ASKED), slice(0, 3), True)
+    asked = known.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_words, ASKED)
+    words, word_stats = answer(asked, slice(12, 15), False)
+    pair_off, word_off = ([discounts(s[:4]) for s in stats[:-1]] for stats in (pair_stats, word_stats))
+    size = max(1, word_stats[-1][0])
+
+    def score(l: pa.Table, r: pa.Table) -> pa.Table:
+        row = l.select(["n", "luck", "seq", "words", "at"]).to_pylist()[0]
+        x = Block(row, rate, shards)
+        r = r.sort_by("shard")
+        got = [r.filter(pa.array(r.column("kind").to_numpy() == k)).column("numbers").to_pylist() for k in (0, 1)]
+        bits = losses(x, x.sums(got[0], x.order, x.edges), x.sums(got[1], x.word_order, x.word_edges), pair_off, word_off, word_stats, size)
+        some = x.n > 0
+        loss = bits / np.maximum(x.n, 1)
+        null = lambda a: pa.array(a, mask=~some)
+        return pa.table([l.column("ids").combine_chunks().flatten(), pa.array(x.n), *[null(a) for a in loss], null(loss[0] - loss[1])], ["doc_id", "n_symbols", *[f"{m}_loss" for m in MODELS], "score"])
+
+    both = pairs.withColumn("kind", F.lit(0)).unionByName(words.withColumn("kind", F.lit(1)))
+    kinds = ", ".join(f"{c} double" for c in (*[f"{m}_loss" for m in MODELS], "score"))
+    return known.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_symbols bigint, {kinds}")
