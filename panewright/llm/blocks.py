@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-from .substring_dedup import mix
+from .common import mix
 
 U = np.uint64
 #: Bytes of text in a block, and what each row counts for besides its text.

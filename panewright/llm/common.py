@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +16,26 @@ LOWER = UPPER.lower()
 ARROW_ROWS = 1000
 
 
+U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ x >> U(30)) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> U(27)) * U(0x94D049BB133111EB)
+    return x ^ x >> U(31)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; a fresh one only where none is set, as in tests."""
+    """The folder for checkpoints that the cluster names; a fresh one only where none is set and all runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, mix, small_batches
 from .components import components, forest
-from .substring_dedup import mix
 
 COSINE, RECALL, LEAST, SEED = 0.95, 0.98, 2, 6
 #: Points that a cell leaves to one task, and the cells that may be named to the executors.

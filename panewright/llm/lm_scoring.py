@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, by_shard, chunks, pack, pack_sorted, spread, unpack, unpack_sorted
-from .common import cut, placed
-from .substring_dedup import mix
+from .common import cut, mix, placed
 
 WORDS = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]|[[\p{L}\p{M}]--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]]+|\p{N}|[^\s\p{L}\p{M}\p{N}]", regex.V1)
 MODELS = ("target", "background", "corpus")

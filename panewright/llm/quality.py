@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, chunks, pack, pack_sorted, spread, unpack, unpack_sorted
-from .common import cut, placed
+from .common import cut, mix, placed
 from .lm_scoring import discounts
-from .substring_dedup import mix
 
 #: Trusted documents that the model is fitted on at most: of every second one those of least hash.
 MOST_TRUSTED = 20_000

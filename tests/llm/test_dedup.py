@@ -240,14 +240,37 @@ def test_removal_keeps_one_occurrence(spark):
     assert len(got[2].text.split()) < 85 and got[2].text.split()[:30] == docs[1][1].split()[:30]
 
 
-def test_similar_paragraphs_are_linked_and_others_not(spark):
+def shingle_bytes(shingles):
+    return np.unique(np.array(sorted(shingles), np.uint64)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+@pytest.mark.parametrize("together", [4096, 3])
+def test_similar_paragraphs_are_linked_and_others_not(spark, together):
     rng = random.Random(9)
-    sets = [{rng.getrandbits(63) for _ in range(30)} for _ in range(6)]
+    sets = [{rng.getrandbits(40) for _ in range(30)} for _ in range(16)]
     sets.append(set(list(sets[0])[:28]) | {1, 2})  # 28 of 32: 0.875
     sets.append(set(list(sets[1])[:26]) | {3, 4, 5, 6})  # 26 of 34: 0.76
-    data = [(k, np.array(sorted(s), np.uint64).tobytes(), 7) for k, s in enumerate(sets)]
-    e = substring_dedup.similar(spark.createDataFrame(data, "content long, shingles binary, key long"), 8).collect()
-    assert [(r.a, r.b) for r in e] == [(0, 6)]
+    sets.append(set(list(sets[2])[:29]) | {7})
+    data = [(k, key, shingle_bytes(s)) for k, s in enumerate(sets) for key in (7, 7, -8)]
+    e = substring_dedup.similar(spark.createDataFrame(data, "content long, key long, shingles binary"), 8, together=together).collect()
+    assert {(r.a, r.b) for r in e} == {(0, 16), (2, 18)}
+
+
+def test_long_texts_have_the_pieces_of_the_whole():
+    rng = random.Random(21)
+    lines = [words(rng, rng.choice([1, 4, 9, 40, 300])) for _ in range(200)] + ["du " * 700, words(rng, 2000)]
+    text = "\n".join(lines).encode()
+    whole = substring_dedup.Paragraphs([text])
+    want = {(f, n, c) for f, n, c, line in zip(whole.first, whole.words, whole.content, whole.line, strict=True) if not line}
+    told = {(f, n, c) for f, n, c, line in zip(whole.first, whole.words, whole.content, whole.line, strict=True) if line}
+    for most in (900, 2500, 6000):
+        got, lines_ = [], []
+        for row, skip, texts, parts in substring_dedup.blocks([3], [text.decode()], most):
+            p = substring_dedup.Paragraphs(texts, parts)
+            for f, n, c, line in zip((p.first + skip[p.text]).tolist(), p.words, p.content, p.line, strict=True):
+                (lines_ if line else got).append((f, n, c))
+        assert len(got) == len(set(got)) and set(got) == want
+        assert len(lines_) == len(set(lines_)) and {x for x in told if x[1] * 9 < most} <= set(lines_)
 
 
 def test_paragraphs_do_not_depend_on_blocks():
