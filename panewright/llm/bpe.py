@@ -8,8 +8,8 @@ cannot change any more and is emitted; reading goes on behind it. Texts are read
 in parts, words longer than a window in windows, and the tokens leave as
 text and as running hashes, so memory does not grow with a text.
 
-Words that fit a window, nearly all, are encoded many at once: each step merges one pair in
-every word. What was encoded is kept in a table of bounded size.
+The first windows of many words are merged at once: each step merges one pair in every word. Short stretches between white space that occur
+often are kept encoded, in a table of bounded size. A stretch without any white space is normalised, split and encoded a part at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import blocks
 from .common import small_batches
 
 #: The code points that Unicode calls white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 PART = 1 << 20
-#: Chunks that are kept encoded.
-KEPT = 300_000
+#: Chunks that are kept encoded, and the characters of the longest one that is.
+KEPT, SHORT = 300_000, 64
+#: Characters of a chunk that are worked on at once.
+LONG = 1 << 13
+#: Characters that a special token, or what composes with what stands before it, may need behind a cut.
+HELD = 32
 #: Bytes of a word that are encoded in one go; longer words go through windows.
 WINDOW = 256
 NO_RANK = np.int32(2**31 - 1)
@@ -180,28 +186,43 @@ def _merge_window(v: Vocabulary, sym: list[int]) -> list[int]:
     return [s for s, k in zip(sym, live, strict=True) if k]
 
 
-def encode_long(v: Vocabulary, word: bytes, window: int | None = None) -> Iterator[int]:
-    """The tokens of one word, emitted once no further byte can change them."""
-    window = max(window or 0, 4 * WINDOW if window is None else 1)
-    at = 0
-    while at < len(word):
-        end = min(len(word), at + window)
-        flat = np.frombuffer(word[at:end], np.uint8)
-        sym = v.inner[flat].tolist()
-        if end == len(word):
-            sym[-1] = int(v.last[flat[-1]])
-        tokens = _merge_window(v, sym)
-        if end == len(word):
-            yield from tokens
-            return
-        stable, began = end - v.lookahead, at
-        for t in tokens:
-            if at + v.length[t] > stable:
-                break
-            at += int(v.length[t])
-            yield t
-        if at == began:
-            window *= 2
+class Transducer:
+    """The tokens of one word whose bytes come in parts, each emitted once no further byte can change it. What is held is no longer than a window, or twice the longest token and the lookahead."""
+
+    def __init__(self, v: Vocabulary, window: int | None = None) -> None:
+        self.v, self.window, self.held = v, 4 * WINDOW if window is None else window, b""
+        self.reach = max(1, v.lookahead)  # whether a byte is the word's last one changes its letter
+
+    def push(self, data: bytes, last: bool) -> list[int]:
+        data, at, size, out, v = self.held + data, 0, self.window, [], self.v
+        while at < len(data) and (last or len(data) - at >= size):
+            end = min(len(data), at + size)
+            flat = np.frombuffer(data[at:end], np.uint8)
+            sym = v.inner[flat].tolist()
+            whole = last and end == len(data)
+            if whole:
+                sym[-1] = int(v.last[flat[-1]])
+            tokens = _merge_window(v, sym)
+            if whole:
+                self.held = b""
+                return out + tokens
+            began = at
+            for t in tokens:
+                if at + v.length[t] > end - self.reach:
+                    break
+                at += int(v.length[t])
+                out.append(t)
+            if at == began:
+                size *= 2
+        self.held = data[at:]
+        return out
+
+
+def encode_long(v: Vocabulary, word: bytes, window: int | None = None, part: int = 1 << 12) -> Iterator[int]:
+    """The tokens of one word, which passes in parts."""
+    t = Transducer(v, window)
+    for at in range(0, len(word), part):
+        yield from t.push(word[at : at + part], at + part >= len(word))
 
 
 def _lower(s: str) -> str:
@@ -209,12 +230,15 @@ def _lower(s: str) -> str:
     return "".join(c.lower() for c in s) if "Σ" in s else s.lower()
 
 
+_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(r"[^\s\p{L}\p{N}]*")
+
+
 class Encoder:
-    """Encodes texts; keeps the tokens of at most KEPT chunks between white space."""
+    """Encodes texts; keeps the tokens of at most KEPT chunks between white space, of SHORT characters at most."""
 
     def __init__(self, v: Vocabulary, kept: int = KEPT) -> None:
         self.v, self.kept = v, kept
-        self.known: dict[str, tuple[str, str, int]] = {}
+        self.known: dict[str, tuple[str, list[int]]] = {}
 
     def _words(self, chunk: str) -> list[bytes | int]:
         """The words of a chunk as UTF-8, and the ids of special tokens in it."""
@@ -226,42 +250,101 @@ class Encoder:
             return [s.encode("utf-8", "replace")]
         return [w.encode("utf-8", "replace") for w in self.v.split.findall(s)]
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encodes the chunks that are not known yet, all at once."""
-        new = [c for c in set(chunks) if c not in self.known]
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list(set(chunks))
-        if not new:
-            return
-        parts = [self._words(c) for c in new]
+    def encode(self, chunks: list[str]) -> list[tuple[str, list[int]]]:
+        """(ids in decimal with a space between, ids) of each chunk; those that are not known are encoded all at once."""
+        out = [self.known.get(c) for c in chunks]
+        new = [k for k, x in enumerate(out) if x is None]
+        parts = [self._words(chunks[k]) for k in new]
         short = list({w for p in parts for w in p if isinstance(w, bytes) and len(w) <= WINDOW})
         found: dict[bytes | int, list[int]] = dict(zip(short, encode_words(self.v, short), strict=True))
-        names, numbers = self.v.names, self.v.numbers
-        for c, p in zip(new, parts, strict=True):
+        numbers = self.v.numbers
+        if len(self.known) + len(new) > self.kept:
+            self.known.clear()
+        for k, p in zip(new, parts, strict=True):
             t = [x for w in p for x in ([w] if isinstance(w, int) else found[w] if w in found else encode_long(self.v, w))]
-            self.known[c] = (" ".join([numbers[x] for x in t]), " ".join([names[x] for x in t]), len(t))
+            out[k] = " ".join([numbers[x] for x in t]), t
+            if len(chunks[k]) <= SHORT and len(self.known) < self.kept:
+                self.known[chunks[k]] = out[k]
+        return out
+
+    def _cut(self, raw: str) -> int:
+        """Where raw may be cut: no special token and nothing that composes stands across."""
+        for k in range(len(raw) - HELD, 0, -1):
+            before, c = raw[max(0, k - HELD) : k], raw[k]
+            if c.isascii() or (not unicodedata.combining(c) and unicodedata.normalize("NFC", before + c) == unicodedata.normalize("NFC", before) + unicodedata.normalize("NFC", c)):
+                return k
+        return 0
 
-    def chunks(self, text: str) -> Iterator[list[str]]:
-        """The chunks of text between white space, a part of the text at a time."""
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to Python only
+    def _split(self, s: str, run: regex.Pattern | None, word: Transducer, closed: bool, out: list[int]) -> tuple[str, regex.Pattern | None]:
+        """Encodes what is sure of s, of which more comes unless closed: (the rest, what a word goes on with that has no end yet)."""
+        at = 0
+        if run is not None:
+            at = run.match(s).end()
+            if at == len(s) and not closed:
+                out += word.push(s.encode("utf-8", "replace"), False)
+                return "", run
+            out += word.push(s[:at].encode("utf-8", "replace"), True)
+        for m in self.v.split.finditer(s, at):
+            if closed or m.end() < len(s) - 3:  # three characters tell whether a contraction begins
+                out += word.push(m[0].encode("utf-8", "replace"), True)
+            elif m.end() == len(s) and len(m[0]) > HELD:
+                out += word.push(m[0].encode("utf-8", "replace"), False)
+                return "", _LETTERS if _LETTERS.match(m[0]).end() else _OTHERS
+            else:
+                return s[m.start() :], None
+        return "", None
+
+    def _long(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """The ids of text[at:end], which has no white space, a part at a time."""
+        raw, s, run, word = "", "", None, Transducer(self.v)
+        while at < end or raw:
+            if len(raw) < LONG:
+                raw, at = raw + text[at : min(end, at + LONG)], min(end, at + LONG)
+            m = self.v.specials.search(raw) if self.v.specials and "<" in raw else None
+            cut = m.start() if m else len(raw) if at == end else self._cut(raw)
+            out: list[int] = []
+            s, run = self._split(s + _lower(unicodedata.normalize("NFC", raw[:cut])), run, word, bool(m) or cut == len(raw) and at == end, out)
+            if m:
+                out.append(self.v.special[m[0]])
+            raw = raw[m.end() if m else cut :]
+            yield out
+
+    def stream(self, text: str) -> Iterator[tuple[str, list[int]]]:
+        """The ids of a text, as by encode(), a part at a time."""
         at = 0
         while at < len(text):
-            end = at + PART
-            if end < len(text):
-                m = _SPACE.search(text, end)
-                end = m.start() if m else len(text)
-            part = text[at:end] if at or end < len(text) else text
-            yield [c for c in _SPACE.split(part) if c] if odd else part.split()
+            end = min(len(text), at + PART)
+            if end < len(text):  # back to white space, or on to it if there is none
+                gap = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                m = _SPACE.search(text, at if gap <= at else gap)
+                end = m.start() if m and m.start() <= end else end if gap > at else m.start() if m else len(text)
+            if end - at > PART:
+                for ids in self._long(text, at, end):
+                    yield " ".join([self.v.numbers[x] for x in ids]), ids
+            else:
+                held: list[str] = []
+                for c in split(text[at:end]):
+                    if len(c) <= LONG:
+                        held.append(c)
+                        continue
+                    yield from self.encode(held)
+                    held = []
+                    for ids in self._long(c, 0, len(c)):
+                        yield " ".join([self.v.numbers[x] for x in ids]), ids
+                yield from self.encode(held)
             at = end
+            m = _SPACE.match(text, at)
+            at = m.end() if m else at
 
     def ids(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for chunks in self.chunks(text or ""):
-            self.learn(chunks)
-            for c in chunks:
-                out += map(int, self.known[c][0].split(" ") if self.known[c][2] else [])
-        return out
+        return [x for _, part in self.stream(text or "") for x in part]
+
+
+def split(text: str) -> list[str]:
+    """The chunks between white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python only
+        return [c for c in _SPACE.split(text) if c]
+    return text.split()
 
 
 _SPACE = re.compile(f"[{SPACE}]+")
@@ -274,7 +357,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Decoder:
-    """Tokens to text, one at a time.
+    """Tokens to text, some at a time.
 
     With byte letters the state is the bytes of a character that is not whole yet; bytes that are no UTF-8 become U+FFFD. Without (the
     file names no decoder) token names are put out with a space between them, and the state is whether one came before.
@@ -285,14 +368,20 @@ class Decoder:
         self.of = {c: b for b, c in enumerate(byte_letters())}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token: int) -> str:
-        name = self.names[token]
+    def feed(self, tokens: Iterable[int]) -> str:
+        """What can be told of the text after these tokens, and not before."""
+        names = self.names
         if not self.byte_level:
-            name, self.some = f" {name}" if self.some else name, True
-            return name
-        if all(c in self.of for c in name):
-            return self.state.decode(bytes(self.of[c] for c in name))
-        return self.state.decode(b"", True) + name
+            text = " ".join([names[t] for t in tokens])
+            lead, self.some = " " if self.some and text else "", self.some or bool(text)
+            return lead + text
+        out = []
+        for name in map(names.__getitem__, tokens):
+            if all(c in self.of for c in name):
+                out.append(self.state.decode(bytes(self.of[c] for c in name)))
+            else:
+                out += [self.state.decode(b"", True), name]
+        return "".join(out)
 
     def close(self) -> str:
         self.some = False
@@ -301,23 +390,12 @@ class Decoder:
 
 def decode(names: list[str], ids: Iterable[int], byte_level: bool = False) -> str:
     d = Decoder(names, byte_level)
-    return "".join([*map(d.feed, ids), d.close()])
+    return d.feed(ids) + d.close()
 
 
 # ---------------------------------------------------------------- DataFrames
 
 
-def _blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end] or "") <= most):
-            held += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each text, as an array. Null text: an empty array."""
     small_batches(docs.sparkSession)
@@ -352,34 +430,34 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    def told(stream: Iterable[tuple[str, list[int]]], names: list[str]) -> tuple[int, str, str]:
+        n, h, g, back = 0, hashlib.sha256(), hashlib.sha256(), Decoder(names, False)
+        stream = iter(stream)
+        while part := [x for x in islice(stream, 4096) if x[1]]:
+            ids = [t for _, ids in part for t in ids]
+            h.update(((" " if n else "") + " ".join([x for x, _ in part])).encode())
+            g.update(back.feed(ids).encode())
+            n += len(ids)
+        g.update(back.close().encode())
+        return n, h.hexdigest(), g.hexdigest()
+
     def run(batches):
         e = encoder(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            n, ids, back = [], [], []
-            for start, end in _blocks(texts, PART):
-                if end - start > 1:
-                    parts = [[t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else [c for c in _SPACE.split(t) if c]] if (t := texts[k]) else [] for k in range(start, end)]
-                    e.learn([c for p in parts for q in p for c in q])
-                    streams, ready = [iter(p) for p in parts], True
+        for t in blocks(batches, 1):
+            texts = t.column(1).to_pylist()
+            # the different chunks of the block are encoded once; a long text, or one with a long chunk, passes by itself
+            parts = [split(x or "") if len(x or "") <= PART else None for x in texts]
+            parts = [None if p and max(map(len, p)) > LONG else p for p in parts]
+            some = pa.array([c for p in parts if p for c in p], pa.string()).dictionary_encode()
+            known = e.encode(some.dictionary.to_pylist())
+            at, chunk, out = 0, some.indices.to_pylist(), []
+            for x, p in zip(texts, parts, strict=True):
+                if p is None:
+                    out.append(told(e.stream(x), e.v.names))
                 else:
-                    streams, ready = [e.chunks(texts[start] or "")], False
-                for stream in streams:
-                    count, h, g = 0, hashlib.sha256(), hashlib.sha256()
-                    for chunks in stream:
-                        if not ready:
-                            e.learn(chunks)
-                        known = e.known
-                        got = [x for c in chunks if (x := known[c])[2]]
-                        if not got:
-                            continue
-                        lead = b" " if count else b""
-                        h.update(lead + " ".join([x[0] for x in got]).encode())
-                        g.update(lead + " ".join([x[1] for x in got]).encode())
-                        count += sum([x[2] for x in got])
-                    n.append(count)
-                    ids.append(h.hexdigest())
-                    back.append(g.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    out.append(told(map(known.__getitem__, chunk[at : at + len(p)]), e.v.names))
+                    at += len(p)
+            n, ids, back = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -142,6 +142,32 @@ def test_windows_with_enough_lookahead(library, window):
         assert list(bpe.encode_long(v, w.encode(), window)) == library.encode(w, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("long", "part"), [(40, 90), (100, 10_000), (8192, 1 << 20)])
+def test_texts_without_white_space_are_streamed(library, monkeypatch, long, part):
+    monkeypatch.setattr(bpe, "LONG", long)
+    monkeypatch.setattr(bpe, "PART", part)
+    e = bpe.Encoder(bpe.Vocabulary(PATH), kept=50)
+    rng = random.Random(long)
+    bits = ["it's", "we'll", "'", "''", "!!!", "'re", "th", "Ing", "é", "e\u0301", "\u1100\u1161\u11a8", "İ", "ΑΣ", "12", "中文", "<|endoftext|>", "<|endof", "a" * 90, "-" * 90, "🙂", "\u0327\u0301", " ", "\n\n", "\x1c"]
+    for k in range(150):
+        t = "".join(rng.choice(bits[: len(bits) - 3 * (k % 2)]) for _ in range(60))
+        assert e.ids(t) == library.encode(t, add_special_tokens=False).ids, t
+    t = "".join(rng.choice("etaoin") for _ in range(60_000))
+    got = list(e.stream(t))
+    assert [x for _, p in got for x in p] == library.encode(t, add_special_tokens=False).ids and max(len(p) for _, p in got) < max(2 * long, 2000)
+    assert len(e.known) <= 50 and all(len(c) <= bpe.SHORT for c in e.known)
+
+
+def test_what_a_transducer_holds_does_not_grow():
+    v = bpe.Vocabulary(PATH)
+    t, out = bpe.Transducer(v), []
+    for _ in range(300):
+        out += t.push(b"onthing" * 100, False)
+        assert len(t.held) < 2048
+    out += t.push(b"", True)
+    assert t.held == b"" and out == list(bpe.encode_long(v, b"onthing" * 30_000))
+
+
 def test_lookahead_of_a_small_list():
     # 0 a, 1 b, 2 c: (b, c) goes before (a, b), so whether ab merges waits for one more byte
     length = np.array([1, 1, 1, 2, 2])
@@ -154,10 +180,12 @@ def test_incremental_decoding():
     whole = "né 中🙂"
     names = [letters[b] for b in whole.encode()] + [letters[0xFF], "<|end|> é"]
     d = bpe.Decoder(names, True)
-    steps = [d.feed(k) for k in range(len(whole.encode()))]
+    steps = [d.feed([k]) for k in range(len(whole.encode()))]
     assert "".join(steps) == whole and "" in steps
     assert bpe.decode(names, [len(names) - 2], True) == "�"
-    assert d.feed(len(names) - 1) == "<|end|> é"
+    assert d.feed([len(names) - 1]) == "<|end|> é"
+    d = bpe.Decoder(["a</w>", "b"], False)
+    assert [d.feed([0, 1]), d.feed([]), d.feed([1])] == ["a</w> b", "", " b"]
 
 
 def test_bpe_digests(spark, library):
