@@ -17,18 +17,20 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import spread
 from .common import cut, mix, small_batches
 from .components import components, forest
 
 COSINE, RECALL, LEAST, SEED = 0.95, 0.98, 2, 6
-#: Points that a cell leaves to one task, and the cells that may be named to the executors.
-CELL, HOT_CELLS = 8192, 4096
+#: Points that a cell leaves to one task, and the cells that may be named to the executors: 16 bytes each.
+CELL, HOT_CELLS = 8192, 1 << 20
 U = np.uint64
 
 
@@ -79,11 +81,12 @@ def _unit(parts: list[bytes], kind: str, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def linked(key: np.ndarray, block: np.ndarray, x: np.ndarray, table: np.ndarray, p: Plan, cosine: float, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked(key: np.ndarray, block: np.ndarray, x: np.ndarray, table: np.ndarray, p: Plan, cosine: float, most: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of the pairs that this task answers for.
 
-    key: what lies together. block: -1, or the half of a pair of blocks of which only pairs across count.
+    key: what lies together. block: -1, or the half of a pair of blocks of which only pairs across count. About `most` numbers are held at once.
     """
+    most = max(4096, most // p.tables)
     cells, values = p.keys(x)
     place = values[np.arange(len(x)), table]
     order = np.lexsort((place, key))
@@ -124,8 +127,13 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     code = {"float": "<f4"}.get(kind, "<f8")
     v = F.col(vector_col) if kind == "float" else F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, v).alias("v")).withColumn("point", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.size("v"))))
-    points = cut(rows.where("v is not null").groupBy("point").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, v).alias("v"))
+    for seed in count():
+        rows = rows.withColumn("point", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v", F.size("v"))))
+        points = cut(rows.where("v is not null").groupBy("point", "v").agg(F.count(F.lit(1)).alias("times"), F.min("vec_id").alias("least")))
+        # a number stands for one vector: if two had the same, all would be numbered anew
+        if points.groupBy("point").count().where("count > 1").isEmpty():
+            break
     p = plan(points.count(), cosine, recall)
 
     def raw(column: pa.Array) -> list[bytes]:
@@ -151,9 +159,11 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     counts = d.mapInArrow(cells, "cell bigint").groupBy("cell").count()
     total = points.count() * p.tables
     limit = max(CELL, -(-total // HOT_CELLS))
-    hot = {r.cell: -(-r["count"] // limit) for r in counts.where(F.col("count") > limit).collect()}  # HOT_CELLS rows at most
+    hot = counts.where(F.col("count") > limit).select("cell", F.ceil(F.col("count") / limit).alias("blocks")).toArrow()  # HOT_CELLS rows at most
     shards = max(256, total // 8192)
-    hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
+    hot_keys, hot_blocks = hot.column("cell").to_numpy().view(np.uint64), hot.column("blocks").to_numpy()
+    by_key = np.argsort(hot_keys)
+    hot_keys, hot_blocks = hot_keys[by_key], hot_blocks[by_key].astype(np.int64)
 
     def deal(batches):
         for b in batches:
@@ -164,13 +174,16 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 key, who, table = cell.ravel(), np.repeat(np.arange(n), t), np.tile(np.arange(t), n)
                 block = np.full(len(key), -1, np.int64)
                 if len(hot_keys) and (is_hot := np.isin(key, hot_keys)).any():
-                    extra = []
-                    for k in np.flatnonzero(is_hot):
-                        blocks = hot[int(key[k].astype(np.int64))]
-                        own = int(mix(ids[part[who[k]] : part[who[k]] + 1].view(np.uint64) + U(1))[0] % U(blocks))
-                        extra += [(int(mix(key[k : k + 1] + U(1 + min(own, o) * blocks + max(own, o)))[0]), who[k], table[k], -1 if o == own else own) for o in range(blocks)]
-                    key = np.concatenate([key[~is_hot], np.array([e[0] for e in extra], np.uint64)])
-                    who, table, block = (np.concatenate([c[~is_hot], np.array([e[i] for e in extra], np.int64)]) for i, c in ((1, who), (2, table), (3, block)))
+                    # a point of a hot cell goes to each pair of blocks that its own block is in
+                    k = np.flatnonzero(is_hot)
+                    many = hot_blocks[np.searchsorted(hot_keys, key[k])]
+                    own = np.repeat((mix(ids[part[who[k]]].view(np.uint64) + U(1)) % many.astype(np.uint64)).astype(np.int64), many)
+                    other, k = spread(np.zeros(len(k), np.int64), many), np.repeat(k, many)
+                    many = np.repeat(many, many)
+                    pair = mix(key[k] + (1 + np.minimum(own, other) * many + np.maximum(own, other)).view(np.uint64))
+                    rest = np.flatnonzero(~is_hot)
+                    key, at = np.concatenate([key[rest], pair]), np.concatenate([rest, k])
+                    who, table, block = who[at], table[at], np.concatenate([block[rest], np.where(own == other, -1, own)])
                 size = len(mine[0])
                 shard = (mix(key ^ U(size)) % U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")

@@ -225,7 +225,7 @@ def near_pairs(key: np.ndarray, fp: np.ndarray, distance: int, most: int = 1 <<
         at = end
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, hot_share: int = 4096, least_hot: int = 2048) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, hot_share: int = 1 << 20, least_hot: int = 2048) -> DataFrame:
     """(a, b): pairs of the distinct fingerprints in fps (one bigint column, fp) that connect all that differ in `distance` bits at most.
 
     Where many lie within reach of each other, a star of pairs stands for all of them. An anchor
@@ -235,7 +235,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, hot_share: int = 4096, least
     total = fps.count()
     homes = fps.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_home(b.column(0).to_numpy(zero_copy_only=False)))], ["home"]) for b in it), "home bigint")
     limit = max(least_hot, -(-total // hot_share))
-    hot = np.array(sorted(r.home for r in homes.groupBy("home").count().where(F.col("count") > limit).collect()), np.int64)  # at most hot_share rows
+    hot = homes.groupBy("home").count().where(F.col("count") > limit).select("home").toArrow()  # at most hot_share rows of 8 bytes
+    hot = np.sort(hot.column("home").to_numpy())
     shards = max(256, total // 8192)
 
     def deal(batches):

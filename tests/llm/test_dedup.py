@@ -185,6 +185,32 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 3000])
+def test_recall_of_pairs_at_the_threshold(spark, n):
+    rng = np.random.default_rng(n)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    base, c = unit(rng.standard_normal((n, 64))), rng.uniform(0.9501, 0.96, n // 3)[:, None]
+    off = rng.standard_normal((n // 3, 64))
+    off = unit(off - (off * base[: n // 3]).sum(1)[:, None] * base[: n // 3])
+    x = np.concatenate([base, c * base[: n // 3] + np.sqrt(1 - c**2) * off])
+    true = int((np.triu(x @ x.T, 1) >= 0.95).sum())
+    got = embedding_dedup.near_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert true >= n // 3 and 0.96 * true <= sum(r.n_links for r in got) / 2 <= true
+
+
+def test_embeddings_with_odd_rows(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a), (1, a), (None, a), (None, b), (7, b), (3, None), (3, None)], "vec_id long, embedding array<float>").withColumn("point", F.lit(1)).withColumn("v", F.lit("x"))
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_dedup(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True)] * 2 + [(None, 2, 1, False), (None, 1, 7, False), (7, 1, 7, True), (3, 0, 3, True), (3, 0, 3, True)], key=str)
+
+
+def test_fingerprints_with_odd_rows(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "A B C"), (None, "a b c"), (None, None), (5, "")], DOCS).withColumn("id", F.lit(2))
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in simhash.simhash_dedup(df).collect())
+    assert got == Counter({(1, 1, True): 2, (None, 1, False): 1, (None, 5, False): 1, (5, 5, True): 1})
+
+
 def test_hot_cells_are_split_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = (rng.standard_normal(64) + rng.standard_normal((300, 64)) * 0.05).tolist()
