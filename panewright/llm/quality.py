@@ -74,8 +74,11 @@ def entries(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return of, np.bincount(text, minlength=len(sizes)), out
 
 
-def keys(some: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """For about STEP symbols of entries at a time: (which entries, told symbols of each, gram[k - 1] and history[k - 1] of each told symbol for the orders k). Keys are hashes, even ones of grams, odd ones of histories."""
+def keys(some: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For about STEP symbols of entries at a time: (which entries, told symbols of each, which of the different grams of order 5 each told symbol ends, gram[k - 1] and history[k - 1] of these for the orders k).
+
+    Keys are hashes, even ones of grams, odd ones of histories.
+    """
     at = 0
     size = np.fromiter(map(len, some), np.int64, len(some))
     upto = np.cumsum(size)
@@ -88,15 +91,15 @@ def keys(some: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.nd
         told = np.ones(len(flat), bool)
         told[(first[:, None] + np.arange(ORDER - 1)).ravel()] = False
         told = np.flatnonzero(told)
+        _, first, back = np.unique(sum(t[told - k] * power[k] for k in range(ORDER)), return_index=True, return_inverse=True)
+        told = told[first]
         gram, history = np.zeros((2, ORDER, len(told)), np.uint64)
         g = h = np.zeros(len(told), np.uint64)
         for k in range(1, ORDER + 1):
-            if k > 1:
-                h = h + t[told - k + 1] * power[k - 1]
-            history[k - 1] = mix(h + U(2 * k + 1)) | U(1)
-            g = g + t[told - k + 1] * power[k - 1]
-            gram[k - 1] = mix(g + U(2 * k)) & ~U(1)
-        yield slice(at, end), size[at:end] - ORDER + 1, gram, history
+            x = t[told - k + 1] * power[k - 1]
+            g, h = g + x, h + x if k > 1 else h
+            gram[k - 1], history[k - 1] = mix(g + U(2 * k)) & ~U(1), mix(h + U(2 * k + 1)) | U(1)
+        yield slice(at, end), size[at:end] - ORDER + 1, back, gram, history
         at = end
 
 
@@ -108,10 +111,9 @@ def count(texts: DataFrame) -> DataFrame:
         for t in blocks(batches, 0):
             of, _, different = entries(t.column(0))
             often = np.bincount(of, minlength=len(different))
-            for at, told, gram, history in keys(different):
-                g, first, back = np.unique(gram[-1], return_index=True, return_inverse=True)
-                c = np.bincount(back, np.repeat(often[at], told), len(g)).astype(np.int64)
-                columns = [x[k - 1][first].view(np.int64) for k in range(ORDER, 0, -1) for x in (gram, history)]
+            for at, told, back, gram, history in keys(different):
+                c = np.bincount(back, np.repeat(often[at], told), gram.shape[1]).astype(np.int64)
+                columns = [x[k - 1].view(np.int64) for k in range(ORDER, 0, -1) for x in (gram, history)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(c)], [*names, "c"])
 
     rows = texts.mapInArrow(run, ", ".join(f"{n} bigint" for n in names) + ", c bigint")
@@ -171,7 +173,7 @@ def _entries(raw: bytes, long: int) -> list[str]:
 
 def _asked(some: list[str]) -> np.ndarray:
     """The different keys of entries, in order."""
-    parts = [np.unique(np.concatenate([gram.ravel(), history[1:].ravel()])) for _, _, gram, history in keys(some)]
+    parts = [np.unique(np.concatenate([gram.ravel(), history[1:].ravel()])) for _, _, _, gram, history in keys(some)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -213,11 +215,11 @@ def score(docs: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
         parts = [unpack(x, np.float32) for x in r.sort_by("shard").column("v").to_pylist()]
         v = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
         loss = np.zeros(len(different))
-        for at, size, gram, history in keys(different):
+        for at, size, back, gram, history in keys(different):
             p = v[np.searchsorted(key, gram[0])] + unseen
             for k in range(1, ORDER):
                 p = v[np.searchsorted(key, gram[k])] + v[np.searchsorted(key, history[k])] * p
-            loss[at] = np.bincount(np.repeat(np.arange(len(size)), size), -np.log2(p), len(size))
+            loss[at] = np.bincount(np.repeat(np.arange(len(size)), size), -np.log2(p)[back], len(size))
         n, often = np.array(row["n"], np.int64), unpack(row["often"], np.uint32)
         doc = np.repeat(np.arange(len(n)), n)
         steps = np.cumsum(unpack(row["steps"], np.uint32).astype(np.int64))
