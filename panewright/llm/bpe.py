@@ -21,7 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -47,6 +47,7 @@ WINDOW = 256
 NO_RANK = np.int32(2**31 - 1)
 
 
+@cache
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if it prints, else one from U+0100 on."""
     prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -365,7 +366,7 @@ class Decoder:
 
     def __init__(self, names: list[str], byte_level: bool) -> None:
         self.names, self.byte_level, self.some = names, byte_level, False
-        self.of = {c: b for b, c in enumerate(byte_letters())}
+        self.of = {c: b for b, c in enumerate(byte_letters())} if byte_level else {}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, tokens: Iterable[int]) -> str:
