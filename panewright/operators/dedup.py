@@ -7,9 +7,11 @@ window the id is RetryExpired and forgotten, so that its next event is Fresh aga
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FRESH, DUPLICATE, DIVERGENT, EXPIRED = "Fresh", "Duplicate", "Divergent", "RetryExpired"
 EXPIRED_REASON = "PERMANENT_RETRY_EXPIRED"
@@ -19,21 +21,23 @@ def decide(events: DataFrame, window_ms: int = 1_800_000, by: tuple[str, ...] =
     """events with decision.
 
     Events without an id, and ids that occur once, nearly all, are Fresh and take no further part. The retried ones pass in order of id
-    and log through a fold that remembers the current id only, so an id that is retried without end costs time and no memory.
+    and log, whole rows as they are, through a fold that remembers the current id only, so an id that is retried without end costs time and no memory.
+    Every row is returned once, with null partitions, and equal rows as often as they occur.
     """
     name = by[-1]
+    own = F.when(F.col(name).isNull(), F.col("log_index"))  # events without an id are no group
+    e = events.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by, own)))
+    alone = (F.col("_n") == 1) | F.col(name).isNull()
+    once = e.where(alone).drop("_n").withColumn("decision", F.lit(FRESH))
     hashed = F.xxhash64(F.coalesce(F.col(payload).cast("string"), F.lit("")))
-    e = events.withColumn("_n", F.when(F.col(name).isNotNull(), F.count(F.lit(1)).over(W.partitionBy(*by))).otherwise(F.lit(1)))
-    once = e.where("_n = 1").drop("_n").withColumn("decision", F.lit(FRESH))
-    more = e.where("_n > 1").drop("_n")
-    slim = more.select(*by, "log_index", "tick_ms", hashed.alias("_h")).repartition(*by).sortWithinPartitions(*by, "log_index")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(by) + 1])
+    more = e.where(~alone).drop("_n").withColumn("_h", hashed).repartition(*by).sortWithinPartitions(*by, "log_index")
 
     def fold(batches):
         current, known, h, t = None, False, 0, 0
         for b in batches:
             said = []
-            for key, tick, payload_hash in zip(zip(*[b[c] for c in by], strict=True), b["tick_ms"], b["_h"], strict=True):
+            keys = zip(*[b.column(c).to_pylist() for c in by], strict=True)
+            for key, tick, payload_hash in zip(keys, b.column("tick_ms").to_pylist(), b.column("_h").to_pylist(), strict=True):
                 if key != current:
                     current, known = key, False
                 if not known:
@@ -47,11 +51,10 @@ def decide(events: DataFrame, window_ms: int = 1_800_000, by: tuple[str, ...] =
                     said.append(DUPLICATE)
                 else:
                     said.append(DIVERGENT)
-            yield b[[*by, "log_index"]].assign(decision=said)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string())], [*b.schema.names[:-1], "decision"])
 
-    told = slim.mapInPandas(fold, f"{kinds}, decision string")
-    more = more.join(told, [*by, "log_index"])
-    return once.unionByName(more.select(*once.columns))
+    told = more.mapInArrow(fold, T.StructType([*events.schema.fields, T.StructField("decision", T.StringType())]))
+    return once.unionByName(told)
 
 
 def fresh(decided: DataFrame) -> DataFrame:

@@ -32,7 +32,8 @@ def apply_policies(emissions: DataFrame, policies: Mapping[str, ChannelPolicy],
     named = {c: p for c, p in policies.items() if p.capacity is not None}
     if not named:
         return emissions, emissions.where("false").select(*b, "channel", F.lit("").alias("reason"), "derived_event_id")
-    rows = emissions.withColumn("_at", F.row_number().over(W.partitionBy(*b).orderBy(*order)).cast("double"))
+    # a place is an order's columns and the hops made since, so no batch is numbered as a whole
+    rows = emissions.withColumn("_at", F.struct(*order, F.lit(0).alias("hop")))
     hops = _rounds(named)
     kinds = lambda f, other: F.coalesce(*[F.when(F.col("channel") == c, f(p)) for c, p in named.items()], other)
     dropped = None
@@ -43,7 +44,7 @@ def apply_policies(emissions: DataFrame, policies: Mapping[str, ChannelPolicy],
         over = F.col("_cap").isNotNull() & F.when(F.col("_kind") == "block", F.col("_up") > F.col("_cap")).otherwise(F.col("_down") > F.col("_cap"))
         if keep_at_zero:
             over = over & ~((F.col("_kind") == "drop_oldest") & (F.col("_cap") == 0))
-        marked = rows.withColumn("_over", over).withColumn("_then", kinds(lambda p: F.lead("_at", p.capacity).over(by.orderBy("_at")), F.lit(None).cast("double")))
+        marked = rows.withColumn("_over", over).withColumn("_then", kinds(lambda p: F.lead("_at", p.capacity).over(by.orderBy("_at")), F.lit(None).cast(rows.schema["_at"].dataType)))
         reason = F.when(F.col("_kind") == "block", BLOCK).when(F.col("_kind") == "drop_oldest", DROP_OLDEST).when(F.col("_to").isNull() | (F.col("_to") == F.col("channel")) | F.lit(hop >= MOST_HOPS), LOOP).otherwise(DEAD_LETTER)
         said = marked.where("_over").select(*b, "channel", reason.alias("reason"), "derived_event_id")
         dropped = said if dropped is None else dropped.unionByName(said)
@@ -54,7 +55,7 @@ def apply_policies(emissions: DataFrame, policies: Mapping[str, ChannelPolicy],
             break
         # a row that is sent on arrives just after the one that displaced it, which came `capacity` places later
         sent = marked.where(F.col("_over") & (reason == DEAD_LETTER)).withColumn("channel", F.col("_to"))
-        sent = sent.withColumn("_at", F.coalesce("_then", "_at") + F.lit(1e-6) * (hop + 1)).select(*emissions.columns, "_at")
+        sent = sent.withColumn("_at", F.coalesce("_then", "_at").withField("hop", F.lit(hop + 1))).select(*emissions.columns, "_at")
         rows = stays.select(*emissions.columns, "_at").unionByName(sent)
     return rows.select(*emissions.columns), dropped
 

@@ -77,13 +77,14 @@ def admit(keys: DataFrame, cap: int = CAP) -> DataFrame:
     """keys (partition_id, log_index, metric, lane_key) with admitted.
 
     Of a partition's different (metric, lane_key), the first `cap` in log order are admitted, for good; a key that was refused never
-    comes in later, so it is enough to rank first occurrences. The ranked keys are cut at cap + 1 a partition before they are joined.
+    comes in later, so it is enough to rank first occurrences. A null key is a key like others. The ranked keys are cut at cap + 1 a partition before they are joined.
     """
     names = ["partition_id", "metric", "lane_key"]
     first = keys.groupBy(*names).agg(F.min("log_index").alias("_first"))
     place = F.row_number().over(W.partitionBy("partition_id").orderBy("_first", "metric", "lane_key"))
-    let_in = first.withColumn("_place", place).where(F.col("_place") <= cap).select(*names, F.lit(True).alias("admitted"))
-    return keys.join(let_in, names, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    let_in = first.withColumn("_place", place).where(F.col("_place") <= cap).select(F.struct(*names).alias("_in"), F.lit(True).alias("admitted"))
+    both = keys.withColumn("_k", F.struct(*names)).join(let_in, F.col("_k") == F.col("_in"), "left")
+    return both.select(*keys.columns, F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 def overflow_audits(admitted: DataFrame, cap: int = CAP) -> DataFrame:

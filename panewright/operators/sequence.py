@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,26 @@ from pyspark.sql import functions as F
 from ..model import ConfigError
 
 SO_FAR = (W.unboundedPreceding, W.currentRow)
+#: Places of a log that one task puts in order.
+CHUNK = 1 << 20
+
+
+def running_max(df: DataFrame, values: Mapping[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """df with a column for each of values: the greatest so far in its partition's log, which log_index orders.
+
+    The greatest of each chunk of a log comes from a plain aggregate; only these few go through a window over whole
+    logs. Within a chunk rows are ordered by themselves, so a log is spread over its chunks. Null partitions and places are kept.
+    """
+    names = list(values)
+    key = F.struct("partition_id", F.floor(F.col("log_index") / chunk).alias("chunk"))
+    ends = df.groupBy(key.alias("_b")).agg(*[F.max(v).alias(f"_e{k}") for k, v in enumerate(values.values())])
+    earlier = W.partitionBy(F.col("_b")["partition_id"]).orderBy(F.col("_b")["chunk"]).rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select("_b", *[F.max(f"_e{k}").over(earlier).alias(f"_e{k}") for k in range(len(names))])
+    inside = W.partitionBy("_k").orderBy("log_index").rowsBetween(*SO_FAR)
+    e = df.select("*", key.alias("_k"), *[v.alias(f"_v{k}") for k, v in enumerate(values.values())])
+    e = e.select(*df.columns, "_k", *[F.max(f"_v{k}").over(inside).alias(f"_v{k}") for k in range(len(names))])
+    out = e.join(before, F.col("_k") == F.col("_b"))
+    return out.select(*df.columns, *[F.greatest(f"_v{k}", f"_e{k}").alias(n) for k, n in enumerate(names)])
 
 
 def fnv1a(key: Column) -> Column:
@@ -75,21 +96,30 @@ def with_log_index(events: DataFrame, *order: str) -> DataFrame:
     return events.withColumn("log_index", F.row_number().over(W.partitionBy("partition_id").orderBy(*order)).cast("long"))
 
 
-def commit_ticks(events: DataFrame, millis: str, out: str = "tick_ms") -> DataFrame:
+def commit_ticks(events: DataFrame, millis: str, out: str = "tick_ms", chunk: int = CHUNK) -> DataFrame:
     """Ticks that follow millis but strictly rise in log order: t = max(millis, last + 1).
 
-    Less its place in the log, a tick is the running maximum of millis less theirs.
+    Less its place in the log, a tick is the running maximum of millis less theirs; both are made by chunks, as in running_max().
     """
-    by = W.partitionBy("partition_id").orderBy("log_index")
-    i = F.row_number().over(by)
-    return events.withColumn("_i", i).withColumn(out, F.col("_i") + F.max(F.col(millis) - F.col("_i")).over(by.rowsBetween(*SO_FAR))).drop("_i")
+    e = events.withColumn("_k", F.struct("partition_id", F.floor(F.col("log_index") / chunk).alias("chunk")))
+    by = W.partitionBy("_k").orderBy("log_index")
+    e = e.withColumn("_i", F.row_number().over(by).cast("long"))
+    e = e.withColumn("_m", F.max(F.col(millis) - F.col("_i")).over(by.rowsBetween(*SO_FAR)))
+    earlier = W.partitionBy(F.col("_b")["partition_id"]).orderBy(F.col("_b")["chunk"]).rowsBetween(W.unboundedPreceding, -1)
+    ends = e.groupBy(F.col("_k").alias("_b")).agg(F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_top"))
+    ends = ends.withColumn("_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    ends = ends.select("_b", "_n", F.max(F.col("_top") - F.col("_n")).over(earlier).alias("_top"))
+    both = e.join(ends, F.col("_k") == F.col("_b"))
+    tick = F.greatest(F.col("_m") - F.col("_n"), "_top") + F.col("_n") + F.col("_i")
+    return both.withColumn(out, tick).select(*[c for c in events.columns if c != out], out)
 
 
 def replay_ticks(events: DataFrame, millis: str, out: str = "tick_ms") -> DataFrame:
     """Ticks of a replayed log: time since its first entry, strictly rising."""
-    by = W.partitionBy("partition_id").orderBy("log_index")
-    first = F.first(millis).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return commit_ticks(events.withColumn("_m", F.greatest(F.col(millis) - first, F.lit(0))), "_m", out).drop("_m")
+    first = events.groupBy(F.struct("partition_id").alias("_p")).agg(F.min_by(millis, "log_index").alias("_first"))
+    e = events.withColumn("_q", F.struct("partition_id")).join(first, F.col("_q") == F.col("_p"))
+    e = e.withColumn("_m", F.greatest(F.col(millis) - F.col("_first"), F.lit(0))).drop("_p", "_q", "_first")
+    return commit_ticks(e, "_m", out).drop("_m")
 
 
 def last_tick(entries: DataFrame, after: int | None = None) -> DataFrame:
@@ -98,33 +128,47 @@ def last_tick(entries: DataFrame, after: int | None = None) -> DataFrame:
     return e.groupBy("partition_id").agg(F.max("log_index").alias("log_index"), F.max_by("tick_ms", "log_index").alias("tick_ms"))
 
 
-def commit_rate(events: DataFrame, alpha: float = 0.2) -> DataFrame:
+def commit_rate(events: DataFrame, alpha: float = 0.2, seed: DataFrame | None = None) -> DataFrame:
     """events with rate: the moving average of 1000 / max(step, 1) events a second, seeded by the first step.
 
-    Folded over runs of events whose length is bounded, then over the runs: within a run of n the average is a
-    weighted sum, and what the run before leaves decays by (1 - alpha)^n.
+    seed: (partition_id, tick_ms, rate) of a snapshot, from which a partition's average goes on.
+
+    Folded over runs of events, then over the runs: within a run of n the average is a weighted sum, and what the run
+    before leaves decays by (1 - alpha)^n. Runs are so long that what is older than two of them weighs less than a double can show.
     """
+    if not 0 < alpha <= 1:
+        raise ConfigError(f"alpha must be above 0 and at most 1, not {alpha}")
+    columns = events.columns
+    e = events.withColumn("_seed", F.lit(None).cast("double"))
+    if seed is not None:
+        e = e.unionByName(seed.select("partition_id", F.lit(-(1 << 62)).cast("long").alias("log_index"), "tick_ms", F.col("rate").cast("double").alias("_seed")), allowMissingColumns=True)
     by = W.partitionBy("partition_id").orderBy("log_index")
     step = F.col("tick_ms") - F.lag("tick_ms").over(by)
-    e = events.withColumn("_i", F.row_number().over(by) - 2).withColumn("_x", 1000.0 / F.greatest(step, F.lit(1)))
-    size = 256
+    # the first number of the average is the seed, or else the first step, which the second event has
+    e = e.withColumn("_i", F.row_number().over(by) - F.when(F.first("_seed").over(by).isNull(), 2).otherwise(1))
+    e = e.withColumn("_x", F.coalesce("_seed", 1000.0 / F.greatest(step, F.lit(1))))
+    if alpha == 1:
+        return e.where("_seed is null").select(*columns, F.when(F.col("_i") >= 0, F.col("_x")).alias("rate"))
+    decay = -math.log2(1 - alpha)
+    size = max(1, min(max(64, math.ceil(60 / decay)), int(900 / decay)))
     e = e.withColumn("_run", F.when(F.col("_i") < 0, F.lit(-1)).otherwise(F.floor(F.col("_i") / size))).withColumn("_k", F.pmod(F.col("_i"), F.lit(size)))
+    e = e.withColumn("_g", F.struct("partition_id", "_run"))
     weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     # within a run: sum of weight * x * (1 - alpha)^(k - j), from prefix sums of x * (1 - alpha)^-j
-    scaled = F.sum(weight * F.col("_x") * F.pow(F.lit(1 - alpha), -F.col("_k"))).over(W.partitionBy("partition_id", "_run").orderBy("_k").rowsBetween(*SO_FAR))
+    scaled = F.sum(weight * F.col("_x") * F.pow(F.lit(1 - alpha), -F.col("_k"))).over(W.partitionBy("_g").orderBy("_k").rowsBetween(*SO_FAR))
     e = e.withColumn("_own", scaled * F.pow(F.lit(1 - alpha), F.col("_k")))
-    ends = e.where("_run >= 0").groupBy("partition_id", "_run").agg(F.max_by("_own", "_k").alias("own"), (F.max("_k") + 1).alias("n"))
-    lists = F.sort_array(F.collect_list(F.struct("_run", "own", "n")).over(W.partitionBy("partition_id").orderBy("_run").rangeBetween(-4, -1)))
-    # what is older than four full runs weighs under (1 - alpha)^1024, less than a double can show
-    before = ends.withColumn("left", F.aggregate(lists, F.lit(0.0), lambda acc, r: acc * F.pow(F.lit(1 - alpha), r["n"]) + r["own"])).select("partition_id", "_run", "left")
-    out = e.join(before, ["partition_id", "_run"], "left")
-    rate = F.col("_own") + F.coalesce("left", F.lit(0.0)) * F.pow(F.lit(1 - alpha), F.col("_k") + 1)
-    return out.select(*events.columns, F.when(F.col("_i") >= 0, rate).alias("rate"))
+    ends = e.where("_run >= 0").groupBy(F.col("_g").alias("_r")).agg(F.max_by("_own", "_k").alias("own"), (F.max("_k") + 1).alias("n"))
+    back = math.ceil(120 / (size * decay))
+    lists = F.sort_array(F.collect_list(F.struct(F.col("_r")["_run"].alias("run"), "own", "n")).over(W.partitionBy(F.col("_r")["partition_id"]).orderBy(F.col("_r")["_run"]).rowsBetween(-back, -1)))
+    before = ends.select("_r", F.aggregate(lists, F.lit(0.0), lambda acc, r: acc * F.pow(F.lit(1 - alpha), r["n"]) + r["own"]).alias("_left"))
+    out = e.join(before, F.col("_g") == F.col("_r"), "left").where("_seed is null")
+    rate = F.col("_own") + F.coalesce("_left", F.lit(0.0)) * F.pow(F.lit(1 - alpha), F.col("_k") + 1)
+    return out.select(*columns, F.when(F.col("_i") >= 0, rate).alias("rate"))
 
 
 def capacity(rate: Column) -> Column:
-    """Events a second to make room for."""
-    return F.ceil(rate).cast("long")
+    """Events a second to make room for: the rate, to a millionth, rounded up."""
+    return F.ceil(F.round(rate, 6)).cast("long")
 
 
 def reconcile_capacity(rates: DataFrame, every_ms: int = 30_000) -> DataFrame:
@@ -144,7 +188,7 @@ def reconcile_capacity(rates: DataFrame, every_ms: int = 30_000) -> DataFrame:
                 last, top = state.get(p, (None, 0))
                 if pd.isna(rate) or (last is not None and tick - last < every_ms):
                     continue
-                want = int(np.ceil(rate))
+                want = int(np.ceil(round(rate, 6)))
                 if want > top:
                     rows.append((p, int(tick), want))
                 state[p] = (tick, max(top, want))

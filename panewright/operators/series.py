@@ -34,9 +34,9 @@ def matches(labels: Column, m: Matcher) -> Column:
         case "!=":
             return v != m.value
         case "=~":
-            return v.rlike(f"^(?:{m.value})$")
+            return v.rlike(f"^(?:{m.value})\\z")
         case _:
-            return ~v.rlike(f"^(?:{m.value})$")
+            return ~v.rlike(f"^(?:{m.value})\\z")
 
 
 def select(telemetry: DataFrame, q: Query) -> DataFrame:

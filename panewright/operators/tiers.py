@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Family
+from ..model import ConfigError
 from .windows import KEY
 
 
@@ -44,10 +45,18 @@ def cross_tier(compacted: DataFrame, live: DataFrame, family: Family, by: Sequen
     return merged.select(*by, family.finish({n: F.col(n) for n in names}).alias("value"))
 
 
-def range_query(compacted: DataFrame, live: DataFrame, family: Family, from_pane: int, to_pane: int, by: Sequence[str] = KEY) -> DataFrame:
-    """(key, value) over the panes from from_pane up to but not including to_pane, of both tiers; both are pane tables, and the bounds reach their scans."""
+def range_query(compacted: DataFrame, live: DataFrame, family: Family, from_pane: int, to_pane: int, by: Sequence[str] = KEY, span_panes: int | None = None) -> DataFrame:
+    """(key, value) over the panes from from_pane up to but not including to_pane, of both tiers; the bounds reach the scans of both.
+
+    compacted: panes, or the spans of span_panes panes that compact() makes. A span cannot be divided, so the bounds must then be those of spans.
+    """
     inside = (F.col("pane") >= from_pane) & (F.col("pane") < to_pane)
-    return cross_tier(compacted.where(inside), live.where(inside), family, by)
+    if span_panes is None:
+        return cross_tier(compacted.where(inside), live.where(inside), family, by)
+    if from_pane % span_panes or to_pane % span_panes:
+        raise ConfigError(f"{from_pane} and {to_pane} are not bounds of spans of {span_panes} panes")
+    spans = (F.col("span") >= from_pane // span_panes) & (F.col("span") < to_pane // span_panes)
+    return cross_tier(compacted.where(spans), live.where(inside), family, by)
 
 
 def write_tier(states: DataFrame, path: str, pane_ms: int, mode: str = "append") -> None:

@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import DROPPED_FLAG, FUTURE_REASON, LATE_REASON, PARTITION_METRIC, PAST_REASON, MetricSpec
+from .sequence import running_max
 
 LATENESS_MS, GUARD_MS = 2_000, 200
 FUTURE_MS, PAST_MS = 5_000, 30 * 60_000
 
 
-def watermark(tick: Column, arrival: Column | None, by: Sequence[str], lateness_ms: int = LATENESS_MS, guard_ms: int = GUARD_MS) -> Column:
-    """The watermark after each event, in log order: the greatest tick less the lateness, but not ahead of the arrival clock less the guard.
+def watermark(tick: Column, clock: Column | None, lateness_ms: int = LATENESS_MS, guard_ms: int = GUARD_MS) -> Column:
+    """The watermark, from the greatest tick and arrival so far: the tick less the lateness, but not ahead of the arrival less the guard.
 
     Both running maxima only rise, so the watermark does without a maximum of its own.
     """
-    so_far = W.partitionBy(*by).orderBy("log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = F.max(tick).over(so_far) - lateness_ms
-    if arrival is not None:
-        found = F.least(found, F.max(arrival).over(so_far) - guard_ms)
-    return F.greatest(found, F.lit(0))
+    found = tick - lateness_ms
+    return F.greatest(found if clock is None else F.least(found, clock - guard_ms), F.lit(0))
 
 
 def trace(events: DataFrame, lateness_ms: int = LATENESS_MS, guard_ms: int = GUARD_MS, arrival: bool = True) -> DataFrame:
     """events with watermark_ms, lateness_ms (how far behind it the event is) and lag_ms (how far it is behind the greatest tick)."""
-    so_far = W.partitionBy("partition_id").orderBy("log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    wm = watermark(F.col("tick_ms"), F.col("arrival_ms") if arrival else None, ["partition_id"], lateness_ms, guard_ms)
-    e = events.withColumn("watermark_ms", wm)
-    return e.withColumn("lateness_ms", F.greatest(F.col("watermark_ms") - F.col("tick_ms"), F.lit(0))).withColumn("lag_ms", F.greatest(F.max("tick_ms").over(so_far) - F.col("watermark_ms"), F.lit(0)))
+    e = running_max(events, {"_tick": F.col("tick_ms")} | ({"_clock": F.col("arrival_ms")} if arrival else {}))
+    e = e.withColumn("watermark_ms", watermark(F.col("_tick"), F.col("_clock") if arrival else None, lateness_ms, guard_ms))
+    e = e.withColumn("lateness_ms", F.greatest(F.col("watermark_ms") - F.col("tick_ms"), F.lit(0))).withColumn("lag_ms", F.greatest(F.col("_tick") - F.col("watermark_ms"), F.lit(0)))
+    return e.drop("_tick", "_clock")
 
 
 def skew(events: DataFrame, future_ms: int = FUTURE_MS, past_ms: int = PAST_MS) -> DataFrame:
@@ -41,29 +38,53 @@ def skew(events: DataFrame, future_ms: int = FUTURE_MS, past_ms: int = PAST_MS)
     return events.withColumn("skew", F.when(ahead, FUTURE_REASON).when(behind, PAST_REASON))
 
 
+def _watermarks(events: DataFrame, specs: Sequence[MetricSpec], lateness_ms: int, guard_ms: int, arrival: bool, has: Callable[[str], Column]) -> tuple[DataFrame, dict[str, Column], Column]:
+    """(events with running maxima in columns that begin with _wm, the watermark of each metric that has its own, the watermark of the others). has: whether a row measures a metric."""
+    clocks = {"tick": F.col("tick_ms")} | ({"clock": F.col("arrival_ms")} if arrival else {})
+    own = {s.metric: s for s in specs if s.lateness_ms is not None}
+    values = {f"_wm_{c}": v for c, v in clocks.items()} | {f"_wm{k}_{c}": F.when(has(m), v) for k, m in enumerate(own) for c, v in clocks.items()}
+    found = lambda k, late, guard: watermark(F.col(f"_wm{k}_tick"), F.col(f"_wm{k}_clock") if arrival else None, late, guard)
+    marks = {m: found(k, s.lateness_ms or 0, guard_ms if s.guard_ms is None else s.guard_ms) for k, (m, s) in enumerate(own.items())}
+    return running_max(events, values), marks, found("", lateness_ms, guard_ms)
+
+
+def _late(metric: Column, tick: Column, specs: Sequence[MetricSpec], marks: Mapping[str, Column], other: Column) -> Column:
+    """Whether a measurement lies strictly before its metric's watermark less its correction horizon. Unknown metrics are never late."""
+    horizon = {s.metric: s.correction_ms for s in specs}
+    return F.coalesce(*[F.when(metric == m, tick < F.greatest(marks.get(m, other) - h, F.lit(0))) for m, h in horizon.items()], F.lit(False))
+
+
+def _told(metric: Column, specs: Sequence[MetricSpec]) -> Column:
+    """Whether a late measurement gives a reason: that of a metric that can retract goes without a word."""
+    silent = sorted({s.metric for s in specs if s.retractable})
+    return ~metric.isin(silent) if silent else F.lit(True)
+
+
 def mark_late(rows: DataFrame, specs: Sequence[MetricSpec], lateness_ms: int = LATENESS_MS, guard_ms: int = GUARD_MS, arrival: bool = False) -> DataFrame:
-    """Measurement rows with late and late_reason.
+    """Measurement rows with late, late_reason and watermark_ms.
 
     A measurement is late if its tick lies strictly before the metric's watermark less its correction horizon. Only metrics that
     cannot retract give a reason; the others' late measurements go without a word, and unknown metrics are never late. A
-    metric with a lateness of its own has its own watermark, from its own events.
+    metric with a lateness of its own has its own watermark, from its own events. Without specs nothing is late.
     """
-    correction = {s.metric: s.correction_ms for s in specs}
-    own = {s.metric: s for s in specs if s.lateness_ms is not None}
-    silent = {s.metric for s in specs if s.retractable}
-    if not specs:
-        return rows.withColumn("late", F.lit(False)).withColumn("late_reason", F.lit(None).cast("string"))
-    clock = F.col("arrival_ms") if arrival else None
-    order_safe = rows.withColumn("wm", watermark(F.col("tick_ms"), clock, ["partition_id"], lateness_ms, guard_ms))
-    for name, s in own.items():
-        w = watermark(F.when(F.col("metric") == name, F.col("tick_ms")), clock, ["partition_id", "metric"], s.lateness_ms or 0, guard_ms if s.guard_ms is None else s.guard_ms)
-        order_safe = order_safe.withColumn("wm", F.when(F.col("metric") == name, w).otherwise(F.col("wm")))
-    by_metric = lambda pairs, other: F.coalesce(*[F.when(F.col("metric") == m, F.lit(v)) for m, v in pairs.items()], other) if pairs else other
-    horizon = by_metric(correction, F.lit(None).cast("int"))
-    late = F.coalesce(F.col("tick_ms") < F.greatest(F.col("wm") - horizon, F.lit(0)), F.lit(False))
-    out = order_safe.withColumn("late", late)
-    said = F.col("late") & ~F.col("metric").isin(sorted(silent)) if silent else F.col("late")
-    return out.withColumn("late_reason", F.when(said, LATE_REASON)).withColumnRenamed("wm", "watermark_ms")
+    r, marks, other = _watermarks(rows, specs, lateness_ms, guard_ms, arrival, lambda m: F.col("metric") == m)
+    mark = F.coalesce(*[F.when(F.col("metric") == m, w) for m, w in marks.items()], other)
+    late = _late(F.col("metric"), F.col("tick_ms"), specs, marks, other)
+    out = r.select(*rows.columns, late.alias("late"), mark.alias("watermark_ms"))
+    return out.withColumn("late_reason", F.when(F.col("late") & _told(F.col("metric"), specs), LATE_REASON)).select(*rows.columns, "late", "late_reason", "watermark_ms")
+
+
+def judge(events: DataFrame, specs: Sequence[MetricSpec], lateness_ms: int = LATENESS_MS, guard_ms: int = GUARD_MS, arrival: bool = False) -> DataFrame:
+    """Events whose late measurements are taken out, with watermark_ms and lost: the metrics of those that give a reason, one for each measurement.
+
+    Every event moves the watermark, whatever it measures.
+    """
+    e, marks, other = _watermarks(events, specs, lateness_ms, guard_ms, arrival, lambda m: F.exists(F.coalesce("measurements", F.array().cast(events.schema["measurements"].dataType)), lambda x: x["metric"] == m))
+    every = F.coalesce("measurements", F.array().cast(events.schema["measurements"].dataType))
+    late = lambda m: _late(m["metric"], F.col("tick_ms"), specs, marks, other)
+    lost = F.transform(F.filter(every, lambda m: late(m) & _told(m["metric"], specs)), lambda m: m["metric"])
+    kept = F.filter(every, lambda m: ~late(m)).alias("measurements")
+    return e.select(*[kept if c == "measurements" else c for c in events.columns], other.alias("watermark_ms"), lost.alias("lost"))
 
 
 def audits(late_rows: DataFrame) -> DataFrame:

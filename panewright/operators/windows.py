@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import Family
 from ..model import AggregationConfig, MetricSpec
+from .sequence import running_max
 
 KEY = ("partition_id", "metric", "lane")
 ORDER = ("log_index", "ord")
@@ -51,8 +52,8 @@ def with_head(events: DataFrame, pane_ms: int) -> DataFrame:
 
     Any event moves the head, whatever it measures, so apply this before measurements are chosen.
     """
-    so_far = W.partitionBy("partition_id").orderBy("log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return with_pane(events, pane_ms).withColumn("pane", F.max("pane").over(so_far))
+    e = with_pane(events, pane_ms)
+    return running_max(e, {"_head": F.col("pane")}).withColumn("pane", F.col("_head")).drop("_head")
 
 
 def pane_states(rows: DataFrame, family: Family, by: Sequence[str] = KEY) -> DataFrame:
@@ -72,20 +73,30 @@ def sliding_panes(rows: DataFrame, family: Family, panes: int, by: Sequence[str]
     return pane_states(rows, family, by).select(*by, "pane", family.finish(state).alias("value"))
 
 
+def _slide(rows: DataFrame, wanted: Sequence[tuple[Family, int, Column | None]], by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rows with _r0, _r1, ...: for each (family, panes, which rows it is for) the window's value at each row. All families share one state for each pane and one join."""
+    r = rows.withColumn("_k", F.struct(*by, "pane"))  # a struct is equal to another of the same nulls, so rows without a lane or metric are kept
+    running = W.partitionBy("_k").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = lambda panes: W.partitionBy(*[F.col("_o")[c] for c in by]).orderBy(F.col("_o")["pane"]).rangeBetween(-(panes - 1), -1)
+    only = lambda c, some: F.col(c) if some is None else F.when(some, F.col(c))
+    families: dict[Family, tuple[int, Column | None]] = {}
+    for f, _, some in wanted:
+        families.setdefault(f, (len(families), some))
+    now = {f: f.prefix(only("value", some), only("item", some), running) for f, (_, some) in families.items()}
+    r = r.select("*", *[c.alias(f"_n{families[f][0]}_{n}") for f, state in now.items() for n, c in state.items()])
+    names = lambda f, prefix: {n: F.col(f"{prefix}{families[f][0]}_{n}") for n in f.names}
+    older = [(f, panes) for f, panes, _ in wanted if panes > 1]
+    if older:
+        states = rows.groupBy(F.struct(*by, "pane").alias("_o")).agg(*[c for f in dict.fromkeys(f for f, _ in older) for c in f.partial(only("value", families[f][1]), only("item", families[f][1]), f"_s{families[f][0]}_")])
+        olds = [c.alias(f"_o{panes}_{families[f][0]}_{n}") for f, panes in dict.fromkeys(older) for n, c in f.over(names(f, "_s"), before(panes)).items()]
+        r = r.join(states.select("_o", *olds), F.col("_k") == F.col("_o"))
+    out = [f.finish(names(f, "_n") if panes <= 1 else f.merge(names(f, f"_o{panes}_"), names(f, "_n"))).alias(f"_r{k}") for k, (f, panes, _) in enumerate(wanted)]
+    return r.select(*rows.columns, *out)
+
+
 def sliding_events(rows: DataFrame, family: Family, panes: int, by: Sequence[str] = KEY, order: Sequence[str] = ORDER) -> DataFrame:
     """rows with `result`: the window's value at each row."""
-    running = W.partitionBy(*by, "pane").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    now = family.prefix(F.col("value"), F.col("item"), running)
-    if panes <= 1:
-        return rows.withColumn("result", family.finish(now))
-    out = rows.select("*", *[c.alias(f"_now_{n}") for n, c in now.items()])
-    before = W.partitionBy(*by).orderBy("pane").rangeBetween(-(panes - 1), -1)
-    states = pane_states(rows, family, by)
-    state = family.over({n: F.col(n) for n in family.names}, before)
-    older = states.select(*by, "pane", *[c.alias(f"_old_{n}") for n, c in state.items()])
-    out = out.join(older, [*by, "pane"])
-    merged = family.merge({n: F.col(f"_old_{n}") for n in family.names}, {n: F.col(f"_now_{n}") for n in family.names})
-    return out.select(*rows.columns, family.finish(merged).alias("result"))
+    return _slide(rows, [(family, max(1, panes), None)], by, order).withColumnRenamed("_r0", "result")
 
 
 def topk_entries(rows: DataFrame, k: int, by: Sequence[str] = (*KEY, "pane")) -> DataFrame:
@@ -101,23 +112,26 @@ def approx_panes(rows: DataFrame, kind: str, param: float | None = None, by: Seq
     return rows.groupBy(*by, "pane").agg(value.alias("value"))
 
 
-def evaluate(rows: DataFrame, config: AggregationConfig) -> DataFrame:
-    """One row for each measurement, lane and spec that reads its metric: rows' columns, spec, result.
+def evaluated(rows: DataFrame, config: AggregationConfig) -> DataFrame:
+    """rows with results, an array of (spec, result) of the specs that read the row's metric. rows have a pane already.
 
-    rows have a pane already. The work is done once for each family and window; specs that agree in both
-    share it.
+    The work is done once for each family and window; specs that agree in both share it.
     """
     config.checked()
     groups: dict[tuple, list[MetricSpec]] = {}
     for s in config.specs:
         groups.setdefault((s.kind, s.param, config.panes(s)), []).append(s)
-    out = None
-    for (kind, param, panes), specs in groups.items():
-        mine = rows.where(F.col("metric").isin(sorted({s.metric for s in specs})))
-        got = sliding_events(mine, Family(kind, param), panes)
-        names = F.array(*[F.when(F.col("metric") == s.metric, F.lit(s.name)) for s in specs])
-        got = got.withColumn("spec", F.explode(F.filter(names, lambda n: n.isNotNull())))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return rows.where("false").withColumn("result", F.lit(None).cast("double")).withColumn("spec", F.lit(None).cast("string"))
-    return out
+    metrics: dict[tuple, set[str]] = {}
+    for (kind, param, _), specs in groups.items():
+        metrics.setdefault((kind, param), set()).update(s.metric for s in specs)
+    wanted = [(Family(kind, param), panes, F.col("metric").isin(sorted(metrics[kind, param]))) for kind, param, panes in groups]
+    out = _slide(rows, wanted, KEY, ORDER) if wanted else rows
+    found = [F.when(F.col("metric") == s.metric, F.struct(F.lit(s.name).alias("spec"), F.col(f"_r{k}").alias("result"))) for k, specs in enumerate(groups.values()) for s in specs]
+    none = F.array().cast("array<struct<spec:string,result:double>>")
+    return out.select(*rows.columns, (F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none).alias("results"))
+
+
+def evaluate(rows: DataFrame, config: AggregationConfig) -> DataFrame:
+    """One row for each measurement, lane and spec that reads its metric: rows' columns, result, spec."""
+    got = evaluated(rows, config).withColumn("_x", F.explode("results"))
+    return got.select(*rows.columns, F.col("_x")["result"].alias("result"), F.col("_x")["spec"].alias("spec"))

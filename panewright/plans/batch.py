@@ -1,4 +1,4 @@
-"""The whole batch pipeline: dedup, lateness, panes, bindings, rules, channels, as one plan."""
+"""The whole batch pipeline: dedup and lateness once, then panes, bindings, rules and channels as one plan."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DROPPED_FLAG, NOT_RETRACTABLE, AggregationConfig, ChannelPolicy, Rule
+from ..model import DROPPED_FLAG, LATE_REASON, NOT_RETRACTABLE, AggregationConfig, ChannelPolicy, Rule
 from ..operators import dedup, emit, timesem, windows
+from ..operators.sequence import running_max
 from ..operators.series import canonical
+from ..sources.shared import staged
 from . import cel
 
 
@@ -25,24 +27,36 @@ class Outputs:
     stats: DataFrame
 
 
-def bind(events: DataFrame, rows: DataFrame, dropped: DataFrame | None = None, absent: bool = True) -> DataFrame:
-    """One row per event with a map of bindings by metric.
+def measured(judged: DataFrame) -> DataFrame:
+    """One row for each measurement and lane of judged events, whose first also carries the event: _row, event_id, payload and lost. An event that has no measurement gives one row without a metric."""
+    base = F.struct("event_id", "payload", "lost")
+    m = judged.select("_row", "partition_id", "log_index", "pane", base.alias("_base"), F.posexplode_outer("measurements").alias("m_pos", "m"))
+    m = m.select("_row", "partition_id", "log_index", "pane", "_base", F.coalesce("m_pos", F.lit(0)).alias("m_pos"), "m", F.posexplode(windows.lanes(F.col("m")["lane_bitmap"])).alias("l_pos", "lane"))
+    # a row without a metric is in no window; it gets a pane of its own, so that such rows are not one group
+    pane = F.when(F.col("m")["metric"].isNull(), -1 - F.col("_row")).otherwise(F.col("pane"))
+    first = F.when((F.col("m_pos") == 0) & (F.col("l_pos") == 0), F.col("_base"))
+    return m.select("_row", "partition_id", "log_index", pane.alias("pane"), first.alias("_base"), *[F.col("m")[c].alias(c) for c in ("metric", "value", "item", "labels")], "lane", (F.col("m_pos") * 64 + F.col("lane")).alias("ord"))
 
-    rows are evaluated measurement rows. If several of an event's rows bind one name, the one with the greatest
+
+def bind(rows: DataFrame, fragile: Sequence[str], absent: bool = True) -> DataFrame:
+    """One row per event, from measured() rows with their results: partition_id, log_index, event_id, payload, bindings by metric, lane_bitmap.
+
+    If several of an event's rows bind one name, the one with the greatest
     labels, place and lane counts. absent: a metric that an event lost by lateness is bound without a value.
     """
-    order = F.struct(canonical(F.col("labels")).alias("l"), F.col("ord").alias("o"))
-    flags = F.when(F.col("result").isNull() & F.col("fragile"), F.array(F.lit(DROPPED_FLAG))).otherwise(F.array().cast("array<string>"))
-    binding = F.struct(F.coalesce("result", F.lit(0.0)).alias("value"), F.col("result").isNotNull().alias("has_value"), F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels"), flags.alias("flags"))
-    best = rows.groupBy("partition_id", "log_index", "spec").agg(F.max_by(binding, order).alias("b"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lane"))).alias("mask"))
-    if dropped is not None and absent:
-        none = F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("has_value"), F.create_map().cast("map<string,string>").alias("labels"), F.array(F.lit(DROPPED_FLAG)).alias("flags"))
-        lost = dropped.select("partition_id", "log_index", F.explode("dropped").alias("spec"), none.alias("b"), F.lit(0).cast("long").alias("mask"))
-        best = best.unionByName(lost).groupBy("partition_id", "log_index", "spec").agg(F.max_by("b", "mask").alias("b"), F.max("mask").alias("mask"))
-    maps = best.groupBy("partition_id", "log_index").agg(F.map_from_entries(F.collect_list(F.struct("spec", "b"))).alias("bindings"), F.bit_or("mask").alias("mask"))
-    out = events.join(maps, ["partition_id", "log_index"], "left")
-    mask = F.when(F.coalesce("mask", F.lit(0)) == 0, F.lit(1).cast("long")).otherwise(F.col("mask"))
-    return out.withColumn("lane_bitmap", mask).drop("mask")
+    labels = canonical(F.col("labels"))
+    each = F.transform("results", lambda x: F.struct(x["spec"].alias("spec"), labels.alias("l"), F.col("ord").alias("o"), x["result"].alias("r")))
+    bit = F.when(F.size("results") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lane")))
+    e = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("partition_id", "log_index")], F.max("_base").alias("_base"), F.array_sort(F.flatten(F.collect_list(each))).alias("_all"), F.bit_or(bit).alias("_mask"))
+    last = F.filter("_all", lambda x, k: (k == F.size("_all") - 1) | (F.get("_all", k + 1)["spec"] != x["spec"]))
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    weak = lambda x: x["spec"].isin(sorted(fragile)) if fragile else F.lit(False)
+    bound = F.transform(last, lambda x: F.struct(x["spec"].alias("spec"), F.struct(F.coalesce(x["r"], F.lit(0.0)).alias("value"), x["r"].isNotNull().alias("has_value"), F.from_json(x["l"], "map<string,string>").alias("labels"), F.when(x["r"].isNull() & weak(x), F.array(F.lit(DROPPED_FLAG))).otherwise(none).alias("flags")).alias("b")))
+    if absent:
+        lost = F.filter(F.array_distinct(F.col("_base")["lost"]), lambda m: ~F.exists("_all", lambda x: x["spec"] == m))
+        gone = F.transform(lost, lambda m: F.struct(m.alias("spec"), F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("has_value"), empty.alias("labels"), F.array(F.lit(DROPPED_FLAG)).alias("flags")).alias("b")))
+        bound = F.concat(bound, F.coalesce(gone, F.array().cast("array<struct<spec:string,b:struct<value:double,has_value:boolean,labels:map<string,string>,flags:array<string>>>>")))
+    return e.select("partition_id", "log_index", F.col("_base")["event_id"].alias("event_id"), F.col("_base")["payload"].alias("payload"), F.map_from_entries(bound).alias("bindings"), F.coalesce("_mask", F.lit(1).cast("long")).alias("lane_bitmap"))
 
 
 def fire(bound: DataFrame, rules: Sequence[Rule], bindings: Column | None = None) -> DataFrame:
@@ -74,7 +88,7 @@ def run(
     arrival: bool = False,
     batch: tuple[str, ...] = ("partition_id",),
 ) -> Outputs:
-    """events follow model.EVENT. Order as in the log: an event that is rejected for skew has used up its id by then.
+    """events follow model.EVENT. Order as in the log: an event that is rejected for skew has used up its id by then. Events are decided on in this call, and kept in the shared folder.
 
     stats: (partition_id, total, dedup_skipped, divergent).
     """
@@ -85,20 +99,16 @@ def run(
         e = timesem.skew(e)
         skewed = timesem.skew_audits(e)
         e = e.where(F.coalesce(F.col("skew") != timesem.FUTURE_REASON, F.lit(True))).drop("skew")
-    rows = windows.explode_measurements(e, ("event_id", "arrival_ms"))
-    rows = timesem.mark_late(rows, config.specs, lateness_ms, guard_ms, arrival)
-    audits = timesem.audits(rows)
-    dropped = timesem.dropped_metrics(rows)
-    rows = rows.where("not late").drop("late", "late_reason", "watermark_ms")
+    e = timesem.judge(e, config.specs, lateness_ms, guard_ms, arrival)
+    e = windows.with_pane(e, config.pane_ms)
     if config.pane_assignment == "head":
-        heads = windows.with_head(rows.select("partition_id", "log_index", "tick_ms").distinct(), config.pane_ms).select("partition_id", "log_index", "pane")
-        rows = rows.join(heads, ["partition_id", "log_index"])
-    else:
-        rows = windows.with_pane(rows, config.pane_ms)
-    got = windows.evaluate(rows, config)
-    fragile = sorted(s.name for s in config.specs if s.kind in NOT_RETRACTABLE)
-    got = got.withColumn("fragile", F.col("spec").isin(fragile) if fragile else F.lit(False))
-    bound = bind(e, got, dropped)
+        head = {"_head": F.when(F.size("measurements") > 0, F.col("pane"))}
+        e = running_max(e, head).withColumn("pane", F.col("_head")).drop("_head")
+    # what has been decided so far is read by windows, panes and audits: it is computed once
+    e = staged(e.select("partition_id", "log_index", "event_id", "payload", "measurements", "pane", "lost").withColumn("_row", F.monotonically_increasing_id()))
+    audits = e.select("partition_id", F.explode("lost").alias("metric"), "event_id", "log_index", F.lit(LATE_REASON).alias("reason"))
+    fragile = [s.name for s in config.specs if s.kind in NOT_RETRACTABLE]
+    bound = bind(windows.evaluated(measured(e), config), fragile)
     derived = fire(bound, rules)
     kept, drops = emit.apply_policies(derived, policies or {}, batch)
     if arrival:

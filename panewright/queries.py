@@ -309,13 +309,39 @@ def commit_rate_ewma(spark, sf_dir):
     return sequence.commit_rate(log(spark, sf_dir)).select("partition_id", "log_index", F.round("rate", 8).alias("rate"))
 
 
-@query(f"{EWMA} SELECT partition_id, log_index, ceil(rate * 1000)::BIGINT AS capacity FROM m WHERE rate IS NOT NULL AND abs(rate * 1000 - round(rate * 1000)) > 1e-6")
+def _ewma(alpha: float):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sequence.commit_rate(log(spark, sf_dir), alpha).select("partition_id", "log_index", F.round("rate", 8).alias("rate"))
+
+    sql = EWMA.replace("0.2::DOUBLE", f"{alpha}::DOUBLE").replace("0.8::DOUBLE", f"(1 - {alpha}::DOUBLE)")
+    query(f"{sql} SELECT partition_id, log_index, round(rate, 8) AS rate FROM m", f"commit_rate_ewma_{alpha}".replace(".", "_"))(run)
+
+
+for _alpha in (0.01, 0.9):
+    _ewma(_alpha)
+
+
+@query(f"{EWMA} SELECT partition_id, log_index, round(rate, 8) AS rate FROM m WHERE log_index > 500")
+def commit_rate_from_snapshot(spark, sf_dir):
+    """The average up to place 500 is a snapshot, from which the rest goes on."""
+    e = log(spark, sf_dir)
+    last = sequence.commit_rate(e.where("log_index <= 500"))
+    seed = last.groupBy("partition_id").agg(F.max_by("tick_ms", "log_index").alias("tick_ms"), F.max_by("rate", "log_index").alias("rate"))
+    return sequence.commit_rate(e.where("log_index > 500"), seed=seed).select("partition_id", "log_index", F.round("rate", 8).alias("rate"))
+
+
+@query(f"{EWMA} SELECT partition_id, log_index, ceil(round(rate * 1000, 6))::BIGINT AS capacity FROM m")
 def capacity(spark, sf_dir):
-    r = sequence.commit_rate(log(spark, sf_dir)).where("rate is not null and abs(rate * 1000 - round(rate * 1000)) > 1e-6")
+    r = sequence.commit_rate(log(spark, sf_dir))
     return r.select("partition_id", "log_index", sequence.capacity(F.col("rate") * 1000).alias("capacity"))
 
 
-@query()
+@query(f"""{EWMA}, t AS (SELECT m.partition_id, m.log_index, m.k, e.tick_ms, m.rate * 1000 AS rate FROM m JOIN e USING (partition_id, log_index)),
+c AS (SELECT partition_id, k, tick_ms AS last, CASE WHEN rate IS NULL THEN NULL ELSE tick_ms END AS seen, CASE WHEN rate IS NULL THEN 0 ELSE ceil(round(rate, 6))::BIGINT END AS top, rate IS NOT NULL AS raised FROM t WHERE k = 1
+  UNION ALL SELECT t.partition_id, t.k, t.tick_ms, CASE WHEN c.seen IS NULL OR t.tick_ms - c.seen >= 30000 THEN t.tick_ms ELSE c.seen END,
+    CASE WHEN c.seen IS NULL OR t.tick_ms - c.seen >= 30000 THEN greatest(c.top, ceil(round(t.rate, 6))::BIGINT) ELSE c.top END,
+    (c.seen IS NULL OR t.tick_ms - c.seen >= 30000) AND ceil(round(t.rate, 6))::BIGINT > c.top FROM t JOIN c ON t.partition_id = c.partition_id AND t.k = c.k + 1)
+SELECT partition_id::VARCHAR AS partition_id, last AS tick_ms, top AS capacity FROM c WHERE raised""")
 def capacity_reconciler(spark, sf_dir):
     r = sequence.commit_rate(log(spark, sf_dir)).withColumn("partition_id", F.col("partition_id").cast("string")).withColumn("rate", F.col("rate") * 1000)
     return sequence.reconcile_capacity(r)
@@ -521,7 +547,8 @@ _cross("topk", "max(value)", 5)
 @query(f"{LOG} SELECT partition_id, lane, round(avg(value), 8) AS value FROM e WHERE pane >= 473400 AND pane < 473500 GROUP BY ALL")
 def tier_range(spark, sf_dir):
     old, live = tiers.split(windows.pane_states(paned(spark, sf_dir), Family("avg"), BY), HOUR, 48)
-    return tiers.range_query(old, live, Family("avg"), 473_400, 473_500, BY).select(*BY, r4("value"))
+    spans = tiers.compact(old, Family("avg"), BY, 20)
+    return tiers.range_query(spans, live, Family("avg"), 473_400, 473_500, BY, 20).select(*BY, r4("value"))
 
 
 @query(f"{LOG} SELECT partition_id, greatest(max(pane) - 47, 0) * 3600000 AS frontier_ms FROM e GROUP BY 1")
@@ -578,9 +605,42 @@ FROM (SELECT DISTINCT partition_id, kind, pane FROM g) a JOIN g b ON a.partition
 _promql("promql_topk", 'topk by (kind)(2, max_over_time(reading[6h]))', _windowed(6, "max(b.value)", "max(x)", "kind"), {"by_kind": "kind"})
 
 
-@query()
+@query(f"""{TELE}, s AS (SELECT a.partition_id, a.kind, a.pane, '{{"kind":"' || b.kind || '","shard":"' || b.shard || '","user":"' || b."user" || '"}}' AS series, max(b.value) AS value
+  FROM (SELECT DISTINCT partition_id, kind, "user", pane FROM g) a JOIN g b ON a.partition_id = b.partition_id AND a.kind = b.kind AND a."user" = b."user" AND b.pane BETWEEN a.pane - 5 AND a.pane GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY partition_id, kind, pane ORDER BY value DESC, series)::INT AS place FROM s) WHERE place <= 2""")
 def promql_topk_series(spark, sf_dir):
-    return series.topk_series(_telemetry(spark, sf_dir), promql.parse("topk by (kind)(2, max_over_time(reading[6h]))"), HOUR)
+    got = series.topk_series(_telemetry(spark, sf_dir), promql.parse("topk by (kind)(2, max_over_time(reading[6h]))"), HOUR)
+    return got.select("partition_id", F.col("by_kind").alias("kind"), "pane", "series", "value", "place")
+
+
+#: The log with every 11th lane, every 13th partition and every 17th item missing.
+HOLES = LATE.replace("user_id % 8 AS partition_id", "CASE WHEN event_id % 13 <> 0 THEN user_id % 8 END AS partition_id").replace("event_type AS lane", "CASE WHEN event_id % 11 <> 0 THEN event_type END AS lane").replace("user_id::VARCHAR AS item", "CASE WHEN event_id % 17 <> 0 THEN user_id::VARCHAR END AS item")
+
+
+def _holes(spark, sf_dir):
+    gone = lambda c, n: F.when(F.col("log_index") % n != 0, F.col(c)).alias(c)
+    e = log(spark, sf_dir, 9)
+    return e.select(*[gone(c, {"lane": 11, "partition_id": 13, "item": 17}[c]) if c in ("lane", "partition_id", "item") else c for c in e.columns])
+
+
+@query(f"""{HOLES}, p AS (SELECT partition_id, lane, pane, sum(value) AS s FROM e GROUP BY ALL),
+o AS (SELECT partition_id, lane, pane, sum(s) OVER (PARTITION BY partition_id, lane ORDER BY pane RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS old FROM p),
+c AS (SELECT *, sum(value) OVER (PARTITION BY partition_id, lane, pane ORDER BY log_index ROWS UNBOUNDED PRECEDING) AS now FROM e)
+SELECT c.log_index, round(coalesce(old, 0) + now, 8) AS result FROM c JOIN o ON c.partition_id IS NOT DISTINCT FROM o.partition_id AND c.lane IS NOT DISTINCT FROM o.lane AND c.pane = o.pane""")
+def window_event_sum_null_keys(spark, sf_dir):
+    rows = windows.with_pane(_holes(spark, sf_dir), HOUR)
+    return windows.sliding_events(rows, Family("sum"), 6, BY).select("log_index", r4("result"))
+
+
+@query(f"""{HOLES}, f AS (SELECT partition_id, lane AS metric, item AS lane_key, min(log_index) AS f FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY f, metric, lane_key) AS place FROM f)
+SELECT e.log_index, k.place <= 20 AS admitted FROM e JOIN k ON e.partition_id IS NOT DISTINCT FROM k.partition_id AND e.lane IS NOT DISTINCT FROM k.metric AND e.item IS NOT DISTINCT FROM k.lane_key""")
+def lane_admission_null_keys(spark, sf_dir):
+    return lanes.admit(_holes(spark, sf_dir).select("partition_id", "log_index", F.col("lane").alias("metric"), F.col("item").alias("lane_key")), 20).select("log_index", "admitted")
+
+
+@query(f"{HOLES} SELECT log_index, greatest(max(tick_ms) OVER (PARTITION BY partition_id ORDER BY log_index ROWS UNBOUNDED PRECEDING) - 7200000, 0) AS watermark_ms FROM e")
+def watermark_null_partitions(spark, sf_dir):
+    return timesem.trace(_holes(spark, sf_dir), 2 * HOUR, 0, arrival=False).select("log_index", "watermark_ms")
 
 
 # ---------------------------------------------------------------- bundles
