@@ -113,25 +113,25 @@ def approx_panes(rows: DataFrame, kind: str, param: float | None = None, by: Seq
 
 
 def evaluated(rows: DataFrame, config: AggregationConfig) -> DataFrame:
-    """rows with results, an array of (spec, result) of the specs that read the row's metric. rows have a pane already.
+    """rows with _spec0, _spec1, ...: for each of the config's specs a struct of its result at the row; null if it does not read the row's metric. rows have a pane already.
 
     The work is done once for each family and window; specs that agree in both share it.
     """
     config.checked()
-    groups: dict[tuple, list[MetricSpec]] = {}
-    for s in config.specs:
-        groups.setdefault((s.kind, s.param, config.panes(s)), []).append(s)
+    groups = list(dict.fromkeys((s.kind, s.param, config.panes(s)) for s in config.specs))
     metrics: dict[tuple, set[str]] = {}
-    for (kind, param, _), specs in groups.items():
-        metrics.setdefault((kind, param), set()).update(s.metric for s in specs)
+    for s in config.specs:
+        metrics.setdefault((s.kind, s.param), set()).add(s.metric)
     wanted = [(Family(kind, param), panes, F.col("metric").isin(sorted(metrics[kind, param]))) for kind, param, panes in groups]
     out = _slide(rows, wanted, KEY, ORDER) if wanted else rows
-    found = [F.when(F.col("metric") == s.metric, F.struct(F.lit(s.name).alias("spec"), F.col(f"_r{k}").alias("result"))) for k, specs in enumerate(groups.values()) for s in specs]
-    none = F.array().cast("array<struct<spec:string,result:double>>")
-    return out.select(*rows.columns, (F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none).alias("results"))
+    of = lambda s: F.col(f"_r{groups.index((s.kind, s.param, config.panes(s)))}")
+    return out.select(*rows.columns, *[F.when(F.col("metric") == s.metric, F.struct(of(s).alias("result"))).alias(f"_spec{k}") for k, s in enumerate(config.specs)])
 
 
 def evaluate(rows: DataFrame, config: AggregationConfig) -> DataFrame:
     """One row for each measurement, lane and spec that reads its metric: rows' columns, result, spec."""
-    got = evaluated(rows, config).withColumn("_x", F.explode("results"))
-    return got.select(*rows.columns, F.col("_x")["result"].alias("result"), F.col("_x")["spec"].alias("spec"))
+    got = evaluated(rows, config)
+    found = [F.when(F.col(f"_spec{k}").isNotNull(), F.struct(F.col(f"_spec{k}")["result"].alias("result"), F.lit(s.name).alias("spec"))) for k, s in enumerate(config.specs)]
+    none = F.array().cast("array<struct<result:double,spec:string>>")
+    every = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else none
+    return got.select(*rows.columns, F.explode(every).alias("_x")).select(*rows.columns, "_x.result", "_x.spec")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DROPPED_FLAG, LATE_REASON, NOT_RETRACTABLE, AggregationConfig, ChannelPolicy, Rule
+from ..model import DROPPED_FLAG, LATE_REASON, AggregationConfig, ChannelPolicy, MetricSpec, Rule
 from ..operators import dedup, emit, timesem, windows
 from ..operators.sequence import running_max
 from ..operators.series import canonical
@@ -38,25 +39,31 @@ def measured(judged: DataFrame) -> DataFrame:
     return m.select("_row", "partition_id", "log_index", pane.alias("pane"), first.alias("_base"), *[F.col("m")[c].alias(c) for c in ("metric", "value", "item", "labels")], "lane", (F.col("m_pos") * 64 + F.col("lane")).alias("ord"))
 
 
-def bind(rows: DataFrame, fragile: Sequence[str], absent: bool = True) -> DataFrame:
-    """One row per event, from measured() rows with their results: partition_id, log_index, event_id, payload, bindings by metric, lane_bitmap.
+def bind(rows: DataFrame, specs: Sequence[MetricSpec], absent: bool = True) -> DataFrame:
+    """One row per event, from measured() rows evaluated for specs: partition_id, log_index, event_id, payload, bindings by metric, lane_bitmap.
 
     If several of an event's rows bind one name, the one with the greatest
     labels, place and lane counts. absent: a metric that an event lost by lateness is bound without a value.
     """
-    labels = canonical(F.col("labels"))
-    each = F.transform("results", lambda x: F.struct(x["spec"].alias("spec"), labels.alias("l"), F.col("ord").alias("o"), x["result"].alias("r")))
-    bit = F.when(F.size("results") > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lane")))
-    e = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("partition_id", "log_index")], F.max("_base").alias("_base"), F.array_sort(F.flatten(F.collect_list(each))).alias("_all"), F.bit_or(bit).alias("_mask"))
-    last = F.filter("_all", lambda x, k: (k == F.size("_all") - 1) | (F.get("_all", k + 1)["spec"] != x["spec"]))
+    order = F.struct(canonical(F.col("labels")).alias("l"), F.col("ord").alias("o"))
+    best = lambda k: F.max_by(F.when(F.col(f"_spec{k}").isNotNull(), F.struct(F.col(f"_spec{k}")["result"].alias("r"), "labels")), F.when(F.col(f"_spec{k}").isNotNull(), order)).alias(f"_b{k}")
+    bound = [F.col(f"_spec{k}").isNotNull() for k in range(len(specs))]
+    bit = F.when(reduce(lambda a, b: a | b, bound, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lane")))
+    e = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("partition_id", "log_index")], F.max("_base").alias("_base"), F.bit_or(bit).alias("_mask"), *[best(k) for k in range(len(specs))])
     none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
-    weak = lambda x: x["spec"].isin(sorted(fragile)) if fragile else F.lit(False)
-    bound = F.transform(last, lambda x: F.struct(x["spec"].alias("spec"), F.struct(F.coalesce(x["r"], F.lit(0.0)).alias("value"), x["r"].isNotNull().alias("has_value"), F.from_json(x["l"], "map<string,string>").alias("labels"), F.when(x["r"].isNull() & weak(x), F.array(F.lit(DROPPED_FLAG))).otherwise(none).alias("flags")).alias("b")))
+    told = lambda r, labels, flags: F.struct(F.coalesce(r, F.lit(0.0)).alias("value"), r.isNotNull().alias("has_value"), F.coalesce(labels, empty).alias("labels"), flags.alias("flags"))
+    entries = []
+    for k, s in enumerate(specs):
+        b, dropped = F.col(f"_b{k}"), F.array(F.lit(DROPPED_FLAG))
+        flags = none if s.retractable else F.when(b["r"].isNull(), dropped).otherwise(none)
+        entries.append(F.when(b.isNotNull(), F.struct(F.lit(s.name).alias("spec"), told(b["r"], b["labels"], flags).alias("b"))))
+    kind = "array<struct<spec:string,b:struct<value:double,has_value:boolean,labels:map<string,string>,flags:array<string>>>>"
+    found = F.filter(F.array(*entries), lambda x: x.isNotNull()).cast(kind) if entries else F.array().cast(kind)
     if absent:
-        lost = F.filter(F.array_distinct(F.col("_base")["lost"]), lambda m: ~F.exists("_all", lambda x: x["spec"] == m))
-        gone = F.transform(lost, lambda m: F.struct(m.alias("spec"), F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("has_value"), empty.alias("labels"), F.array(F.lit(DROPPED_FLAG)).alias("flags")).alias("b")))
-        bound = F.concat(bound, F.coalesce(gone, F.array().cast("array<struct<spec:string,b:struct<value:double,has_value:boolean,labels:map<string,string>,flags:array<string>>>>")))
-    return e.select("partition_id", "log_index", F.col("_base")["event_id"].alias("event_id"), F.col("_base")["payload"].alias("payload"), F.map_from_entries(bound).alias("bindings"), F.coalesce("_mask", F.lit(1).cast("long")).alias("lane_bitmap"))
+        names = F.transform(found, lambda x: x["spec"])
+        gone = F.transform(F.array_except(F.col("_base")["lost"], names), lambda m: F.struct(m.alias("spec"), told(F.lit(None).cast("double"), empty, F.array(F.lit(DROPPED_FLAG))).alias("b")))
+        found = F.when(F.size(F.col("_base")["lost"]) > 0, F.concat(found, gone.cast(kind))).otherwise(found)
+    return e.select("partition_id", "log_index", F.col("_base")["event_id"].alias("event_id"), F.col("_base")["payload"].alias("payload"), F.map_from_entries(found).alias("bindings"), F.coalesce("_mask", F.lit(1).cast("long")).alias("lane_bitmap"))
 
 
 def fire(bound: DataFrame, rules: Sequence[Rule], bindings: Column | None = None) -> DataFrame:
@@ -107,8 +114,7 @@ def run(
     # what has been decided so far is read by windows, panes and audits: it is computed once
     e = staged(e.select("partition_id", "log_index", "event_id", "payload", "measurements", "pane", "lost").withColumn("_row", F.monotonically_increasing_id()))
     audits = e.select("partition_id", F.explode("lost").alias("metric"), "event_id", "log_index", F.lit(LATE_REASON).alias("reason"))
-    fragile = [s.name for s in config.specs if s.kind in NOT_RETRACTABLE]
-    bound = bind(windows.evaluated(measured(e), config), fragile)
+    bound = bind(windows.evaluated(measured(e), config), config.specs)
     derived = fire(bound, rules)
     kept, drops = emit.apply_policies(derived, policies or {}, batch)
     if arrival:

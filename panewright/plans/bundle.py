@@ -7,14 +7,18 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import ChannelPolicy, ConfigError
-from ..operators import emit, lanes, series
+from ..operators import emit, lanes, series, timesem
 from . import cel, promql
 
 
+#: The kinds of phases, and the least and most milliseconds between checkpoints.
+TYPES = ("source.kafka", "source.channel", "aggregate.promql", "classify.cel", "sink.checkpoint")
+FULL_MS, INCREMENTAL_MS = (15_000, 300_000), (5_000, 300_000)
+
+
 class BundleError(ConfigError):
     pass
 
@@ -59,6 +63,8 @@ class Admission:
     queries: Mapping[str, promql.Query]
     lanes: lanes.LaneReport
     warnings: tuple[str, ...]
+    #: phase -> (full, incremental) milliseconds; None where the bundle leaves it open
+    checkpoints: Mapping[str, tuple[int | None, int | None]] = field(default_factory=dict)
 
 
 def load(source: str | Path | Mapping) -> Bundle:
@@ -92,7 +98,10 @@ def load(source: str | Path | Mapping) -> Bundle:
 
 
 def validate(bundle: Bundle, strict: bool = True) -> Admission:
-    """Checks, in this order: lane domains, queries, channel loop, lanes, rules. strict also refuses lane overflow and windows that differ from ranges."""
+    """Checks, in this order: phase types, lane domains, queries, checkpoints, channel loop, lanes, rules. strict also refuses lane overflow, windows that differ from ranges and intervals out of bounds."""
+    for p in bundle.phases:
+        if p.type not in TYPES:
+            raise BundleError(f"{p.name}: unknown type {p.type!r}")
     if not bundle.lane_domains:
         raise BundleError("no lane domains")
     queries: dict[str, promql.Query] = {}
@@ -117,6 +126,7 @@ def validate(bundle: Bundle, strict: bool = True) -> Admission:
                 warnings.append(f"{p.name}.{name}: range differs from window")
     if not found:
         raise BundleError("no queries")
+    checkpoints = {p.name: _intervals(p, bundle, strict, warnings) for p in bundle.phases if p.type == "sink.checkpoint"}
     produced = {r.channel for p in bundle.phases for r in p.rules if r.channel}
     consumed = {c for p in bundle.phases for c in p.consumes}
     if loop := sorted(produced & consumed):
@@ -131,7 +141,26 @@ def validate(bundle: Bundle, strict: bool = True) -> Admission:
     for p in bundle.phases:
         for r in p.rules:
             _check_rule(p, r, queries)
-    return Admission(queries, report, tuple(warnings))
+    return Admission(queries, report, tuple(warnings), checkpoints)
+
+
+def _intervals(p: Phase, bundle: Bundle, strict: bool, warnings: list[str]) -> tuple[int | None, int | None]:
+    """The intervals of a checkpoint phase; an error for texts that are no duration and names that are no phase."""
+    found = []
+    for name, (least, most) in (("full_interval", FULL_MS), ("incremental_interval", INCREMENTAL_MS)):
+        text = p.options.get(name)
+        ms = None if text is None else promql.duration_ms(str(text))
+        if text is not None and not ms:
+            raise BundleError(f"{p.name}: {name} {text!r} is no duration")
+        if ms is not None and not least <= ms <= most:
+            if strict:
+                raise BundleError(f"{p.name}: {name} of {ms} ms is not within {least} and {most} ms")
+            warnings.append(f"{p.name}: {name} is out of bounds")
+        found.append(ms)
+    for other in p.options.get("include") or []:
+        if other not in {x.name for x in bundle.phases}:
+            raise BundleError(f"{p.name}: {other!r} is not a phase")
+    return found[0], found[1]
 
 
 def _phase_of(p: Phase, alias: str) -> str:
@@ -186,10 +215,12 @@ def run(bundle: Bundle, telemetry: DataFrame, events: DataFrame, pane_ms: int, p
     emissions = []
     widest = max((q.range_ms or pane_ms for q in columns), default=pane_ms)
     end = (F.col("pane") + 1) * pane_ms * 1_000_000
-    so_far = W.partitionBy("partition_id").orderBy("log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = out.withColumn("_wm", F.max("tick_ms").over(so_far) * 1_000_000)
+    if any("watermark_ns" in str((r.when, r.payload)) for _, r, _ in wanted):
+        out = timesem.trace(out, arrival=False).withColumnRenamed("watermark_ms", "_wm")
+    else:
+        out = out.withColumn("_wm", F.lit(None).cast("long"))
     context: dict[str, Column] = {n: F.col(n) for n in ("partition_key", "partition_id", "log_index", "event_id", "schema_key")}
-    context |= {"window_end_ns": end, "window_start_ns": end - widest * 1_000_000, "watermark_ns": F.col("_wm"), "rule_version": F.lit(bundle.policy_version)}
+    context |= {"window_end_ns": end, "window_start_ns": end - widest * 1_000_000, "watermark_ns": F.col("_wm") * 1_000_000, "rule_version": F.lit(bundle.policy_version)}
     for k, (p, r, _) in enumerate(wanted):
         compiler = cel.Compiler(lambda alias, metric, p=p: F.col(columns[admission.queries[f"{_phase_of(p, alias)}.{metric}"]]), F.col("payload"), context)
         body = cel.payload_json(r.payload, compiler)

@@ -264,6 +264,32 @@ def test_bundle_checks():
     assert bundle.load("bundle: {name: x}\nworkflow: {phases: []}").name == "x"
 
 
+def test_phase_types_and_checkpoints():
+    import copy
+
+    def with_phase(kind, **options):
+        doc = copy.deepcopy(FLOW)
+        doc["workflow"]["phases"].append({"name": "keep", "type": kind, "options": options})
+        return bundle.load(doc)
+
+    good = with_phase("sink.checkpoint", full_interval="30s", incremental_interval="10s", include=["fast", "slow"])
+    assert bundle.validate(good).checkpoints == {"keep": (30_000, 10_000)}
+    assert bundle.validate(with_phase("sink.checkpoint")).checkpoints == {"keep": (None, None)}
+    for kind, options in (("sink.chekpoint", {}), ("sink.checkpoint", {"full_interval": "10s"}), ("sink.checkpoint", {"incremental_interval": "6m"}), ("sink.checkpoint", {"full_interval": "soon"}), ("sink.checkpoint", {"include": ["none"]})):
+        with pytest.raises(bundle.BundleError):
+            bundle.validate(with_phase(kind, **options))
+    assert bundle.validate(with_phase("sink.checkpoint", full_interval="10s"), strict=False).warnings
+
+
+def test_null_keys_and_repeated_rows_pass_the_pipeline(spark):
+    e = event(spark, [(1, 100, None, "a", 1.0, "d"), (1, 100, None, "a", 1.0, "d"), (2, 150, "x", "b", 2.0, "d"), (3, 160, "y", "c", None, "d")])
+    e = e.withColumn("partition_id", F.when(F.col("log_index") != 2, F.col("partition_id"))).withColumn("measurements", F.when(F.col("log_index") != 3, F.col("measurements")))
+    out = batch.run(e, AggregationConfig((MetricSpec("m", "sum", 1000),), 100, 1000), [Rule("r", "c", cel.Always(True))])
+    got = sorted(((r.log_index, r.partition_id, r.bindings["m"].value if r.bindings else None) for r in out.bindings.collect()), key=str)
+    assert [x[0] for x in got] == [1, 1, 2, 3] and sorted(x[2] for x in got if x[0] == 1) == [1.0, 2.0] and (2, None, 2.0) in got and (3, "p", None) in got
+    assert out.derived.count() == 4
+
+
 def test_lint(tmp_path, capsys):
     import yaml
 

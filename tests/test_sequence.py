@@ -55,6 +55,55 @@ def test_rate(spark):
     assert [r.rate for r in got][1:] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("alpha", [0.001, 0.05, 0.9, 0.99, 0.99999, 1.0])
+def test_rate_of_any_alpha_and_from_a_snapshot(spark, alpha):
+    ticks, t = [], 0
+    for i in range(3000):
+        t += 1 + i * 7919 % 90
+        ticks.append((i, t))
+    want, rate = [None], None
+    for (_, a), (_, b) in zip(ticks, ticks[1:], strict=False):
+        x = 1000 / max(b - a, 1)
+        rate = x if rate is None else alpha * x + (1 - alpha) * rate
+        want.append(rate)
+    df = events(spark, ticks, "log_index long, tick_ms long")
+    assert [r.rate for r in sequence.commit_rate(df, alpha).orderBy("log_index").collect()][1:] == pytest.approx(want[1:])
+    seed = spark.createDataFrame([("p", ticks[999][1], want[999])], "partition_id string, tick_ms long, rate double")
+    rest = sequence.commit_rate(df.where("log_index >= 1000"), alpha, seed)
+    assert rest.columns == ["partition_id", "log_index", "tick_ms", "rate"]
+    assert [r.rate for r in rest.orderBy("log_index").collect()] == pytest.approx(want[1000:])
+
+
+def test_alpha_out_of_range(spark):
+    for alpha in (0, -1, 1.1):
+        with pytest.raises(ConfigError):
+            sequence.commit_rate(events(spark, [(1, 1)], "log_index long, tick_ms long"), alpha)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_chunks_of_a_log(spark, chunk):
+    import random
+
+    rng = random.Random(chunk)
+    data = [(i, rng.randint(0, 500)) for i in range(0, 300, 3)]
+    df = events(spark, data, "log_index long, ms long").unionByName(spark.createDataFrame([(None, 5, 7), (None, 9, 3)], "partition_id string, log_index long, ms long"))
+    got = sequence.running_max(df, {"top": F.col("ms"), "odd": F.when(F.col("ms") % 2 == 1, F.col("ms"))}, chunk).collect()
+    mine = {r.log_index: r for r in got if r.partition_id}
+    assert all(mine[i].top == max(m for j, m in data if j <= i) and mine[i].odd == max((m for j, m in data if j <= i and m % 2), default=None) for i, _ in data)
+    assert sorted((r.log_index, r.top) for r in got if r.partition_id is None) == [(5, 7), (9, 7)]
+    last, want = None, []
+    for _, m in data:
+        last = m if last is None else max(m, last + 1)
+        want.append(last)
+    assert [r.tick_ms for r in sequence.commit_ticks(df, "ms", chunk=chunk).where("partition_id is not null").orderBy("log_index").collect()] == want
+
+
+def test_equal_rows_and_null_partitions_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 10, "a", "x"), (None, 2, 20, "a", "x"), ("p", 3, 30, "b", "x"), ("p", 3, 30, "b", "x")], "partition_id string, log_index long, tick_ms long, event_id string, payload string")
+    got = sorted((r.log_index, r.decision) for r in dedup.decide(df, 100).collect())
+    assert got == [(1, "Fresh"), (2, "Duplicate"), (3, "Duplicate"), (3, "Fresh")]
+
+
 def test_capacity_reconciler(spark):
     df = events(spark, [(1, 0, 10.0), (2, 10_000, 99.0), (3, 30_000, 20.5), (4, 60_000, 5.0), (5, 90_000, 30.0)], "log_index long, tick_ms long, rate double")
     assert [(r.tick_ms, r.capacity) for r in sequence.reconcile_capacity(df).orderBy("tick_ms").collect()] == [(0, 10), (30_000, 21), (90_000, 30)]
