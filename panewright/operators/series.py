@@ -115,21 +115,34 @@ def _outer(q: Query) -> Column:
             return F.sum("inner")
 
 
+#: (aggregator, function) whose value does not depend on which series a sample is of, as a window over the states of a group's panes.
+POOLED = {
+    ("sum", "sum_over_time"): lambda w: F.sum("s").over(w),
+    ("sum", "count_over_time"): lambda w: F.sum("n").over(w).cast("double"),
+    ("max", "max_over_time"): lambda w: F.max("hi").over(w),
+    ("min", "min_over_time"): lambda w: F.min("lo").over(w),
+}
+
+
 def evaluate(telemetry: DataFrame, q: Query, pane_ms: int, at: DataFrame | None = None) -> DataFrame:
     """(partition_id, by_<label>..., pane, value): the query at the end of each pane that is asked for.
 
     at: (partition_id, by_<label>..., pane); by default every pane in which the group has samples. The window is the
     newest ceil(range / pane_ms) panes. Groups without a sample in it give no row, and a series with too few no
     value. Without an aggregator, series are their own groups by the label `series`, unless the function is
-    quantile_over_time, which takes all samples together.
+    quantile_over_time, which then takes all samples together; with one, each series has its own quantile.
     """
     by = [f"by_{b}" for b in q.by]
     rows = select(telemetry, q)
-    pooled = q.func == "quantile_over_time" or (q.aggregator == "distinct" and q.func is None)
+    panes = max(1, -(-(q.range_ms or pane_ms) // pane_ms))
+    if at is None and (q.aggregator, q.func) in POOLED:  # a row for each pane of a group slides, however long the window is
+        states = _states(rows.withColumn("series", F.lit("")), q, pane_ms, by)
+        frame = W.partitionBy("partition_id", *by).orderBy("pane").rangeBetween(-(panes - 1), 0)
+        return states.select("partition_id", *by, "pane", POOLED[q.aggregator, q.func](frame).alias("value"))
+    pooled = (q.func == "quantile_over_time" and q.aggregator is None) or (q.aggregator == "distinct" and q.func is None)
     if pooled:
         rows = rows.withColumn("series", F.lit(""))
     states = _states(rows, q, pane_ms, by)
-    panes = max(1, -(-(q.range_ms or pane_ms) // pane_ms))
     single = q.aggregator is None and not pooled
     group = ["partition_id", *by, *(["series"] if single else [])]
     asked = (states if at is None else at).select(*(group if at is None else ["partition_id", *by]), "pane").distinct()

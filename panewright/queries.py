@@ -600,6 +600,9 @@ _promql("promql_increase", 'sum by (kind)(increase(work_total[24h]))', _windowed
 _promql("promql_rate", 'avg by (kind)(rate(work_total[24h]))', _windowed(24, _RISE.replace("END", "END / nullif((max(b.tick_ms) - min(b.tick_ms)) / 1000.0::DOUBLE, 0)"), "avg(x)", "kind").replace(", 8)", ", 8)"), {"by_kind": "kind"}, 8)
 _promql("promql_quantile", 'quantile_over_time(0.95, reading{kind="click"}[6h])', """SELECT a.partition_id, a.pane, round(list_sort(list(b.value))[floor(0.95 * (count(*) - 1) + 0.5)::INT + 1], 8) AS value
 FROM (SELECT DISTINCT partition_id, pane FROM g WHERE kind = 'click') a JOIN (SELECT * FROM g WHERE kind = 'click') b ON a.partition_id = b.partition_id AND b.pane BETWEEN a.pane - 5 AND a.pane GROUP BY ALL""", {})
+_promql("promql_avg_of_quantile", 'avg by (kind)(quantile_over_time(0.5, reading[12h]))', _windowed(12, "list_sort(list(b.value))[floor(0.5 * (count(*) - 1) + 0.5)::INT + 1]", "avg(x)", "kind"), {"by_kind": "kind"})
+_promql("promql_sum_of_counts", 'sum by (kind)(count_over_time(reading[24h]))', _windowed(24, "count(*)", "sum(x)::DOUBLE", "kind"), {"by_kind": "kind"})
+_promql("promql_max_of_max", 'max by (kind)(max_over_time(reading[24h]))', _windowed(24, "max(b.value)", "max(x)", "kind"), {"by_kind": "kind"})
 _promql("promql_distinct", 'distinct by (kind)(reading[12h])', """SELECT a.partition_id, a.kind, a.pane, count(DISTINCT b.item)::DOUBLE AS value
 FROM (SELECT DISTINCT partition_id, kind, pane FROM g) a JOIN g b ON a.partition_id = b.partition_id AND a.kind = b.kind AND b.pane BETWEEN a.pane - 11 AND a.pane GROUP BY ALL""", {"by_kind": "kind"})
 _promql("promql_topk", 'topk by (kind)(2, max_over_time(reading[6h]))', _windowed(6, "max(b.value)", "max(x)", "kind"), {"by_kind": "kind"})
