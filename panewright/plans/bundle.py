@@ -19,6 +19,10 @@ TYPES = ("source.kafka", "source.channel", "aggregate.promql", "classify.cel", "
 FULL_MS, INCREMENTAL_MS = (15_000, 300_000), (5_000, 300_000)
 
 
+#: The flag of a metric that more than one series answers.
+AMBIGUOUS_FLAG = "AMBIGUOUS_SERIES"
+
+
 class BundleError(ConfigError):
     pass
 
@@ -191,7 +195,8 @@ def run(bundle: Bundle, telemetry: DataFrame, events: DataFrame, pane_ms: int, p
 
     telemetry: rows of operators.series. events: partition_id, log_index, tick_ms, labels, payload (JSON), event_id, partition_key, schema_key. Each event
     is judged once, by every rule. A metric resolves to the series group whose labels are the event's (its labels, else its payload's
-    fields of these names), at the event's pane. Queries that agree are evaluated once, at the panes of events only.
+    fields of these names), and has the value it had at the event's place in the log. A query without an aggregator that several series answer has no value
+    and the flag AMBIGUOUS_FLAG. Queries that agree are evaluated once.
     """
     admission = validate(bundle, strict)
     e = events.withColumn("pane", F.floor(F.col("tick_ms") / pane_ms).cast("long"))
@@ -205,13 +210,11 @@ def run(bundle: Bundle, telemetry: DataFrame, events: DataFrame, pane_ms: int, p
         e = e.withColumn(f"by_{name}", label(name))
     out = e
     for q, column in columns.items():
-        by = [f"by_{b}" for b in q.by]
-        at = e.select("partition_id", *by, "pane").distinct()
-        values = series.evaluate(telemetry, q, pane_ms, at)
-        binding = F.struct(F.col("value"), F.col("value").isNotNull().alias("has_value"), (F.create_map(*[x for b in q.by for x in (F.lit(b), F.col(f"by_{b}"))]) if q.by else F.create_map().cast("map<string,string>")).alias("labels"), F.array().cast("array<string>").alias("flags"))
-        values = values.select(*[F.col(c).alias(f"_{c}") for c in ("partition_id", *by, "pane")], binding.alias(column))
-        keys = ["partition_id", *by, "pane"]
-        out = out.join(values, [out[k].eqNullSafe(values[f"_{k}"]) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+        out = series.evaluate_events(telemetry, q, pane_ms, out, column, asked=e)
+        labels = F.create_map(*[x for b in q.by for x in (F.lit(b), F.col(f"by_{b}"))]) if q.by else F.create_map().cast("map<string,string>")
+        value, n = F.col(column)["value"], F.col(column)["series"]
+        flags = F.when((n > 1) & F.lit(q.aggregator is None), F.array(F.lit(AMBIGUOUS_FLAG))).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn(column, F.when(n.isNotNull(), F.struct(value.alias("value"), value.isNotNull().alias("has_value"), labels.alias("labels"), flags.alias("flags"))))
     emissions = []
     widest = max((q.range_ms or pane_ms for q in columns), default=pane_ms)
     end = (F.col("pane") + 1) * pane_ms * 1_000_000

@@ -442,7 +442,9 @@ class Compiler:
         return self.context[name]
 
     def value(self, e: object) -> Column:
-        """For payloads: the value in its own type."""
+        """For payloads: the value in its own type; nanoseconds are no doubles."""
+        if isinstance(e, Name):
+            return self.named(e.name)
         return {"number": self.number, "boolean": self.condition}.get(self.kind(e), self.text)(e)
 
 

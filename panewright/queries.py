@@ -649,18 +649,6 @@ def watermark_null_partitions(spark, sf_dir):
 # ---------------------------------------------------------------- bundles
 
 
-def _bundle(name: str, text: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = tables.read_events_table(spark, sf_dir)
-        user = F.col("partition_key").cast("int")
-        labels = F.create_map(F.lit("kind"), F.col("measurements")[0]["labels"]["event_type"], F.lit("shard"), (user % 3).cast("string"))
-        e = e.withColumn("labels", labels)
-        t = _telemetry(spark, sf_dir).withColumn("partition_id", F.col("partition_id").cast("string"))
-        return bundle.run(bundle.load(text), t, e, HOUR)
-
-    query(None, name)(run)
-
-
 SPIKES = """
 bundle: {name: spikes, def_version: 3, policy_version: 2, lane_domains: {kind: {max_per_partition: 5}, shard: {max_per_partition: 3}}}
 workflow:
@@ -691,15 +679,33 @@ workflow:
             when: '!now["work"].has_value || now["work"].value < 1'
             emit: {channel: audit, payload: {at: window_end_ns}}
 """
-_bundle("bundle_spikes", SPIKES)
 
-SPIKE_SQL = f"""{TELE}, a AS (SELECT * FROM ({_windowed(3, "sum(b.value)", "sum(x)", "kind")})), b AS (SELECT * FROM ({_windowed(24, "avg(b.value)", "avg(x)", "kind")}))
-SELECT g.log_index FROM g JOIN a USING (partition_id, kind, pane) JOIN b USING (partition_id, kind, pane) WHERE a.value > 2 * greatest(1, b.value)"""
+
+def _known(hours: int, inner: str, outer: str, by: str) -> str:
+    """Two levels in SQL: each series' value as it stood at each event of its group, then over the series."""
+    return f"""SELECT log_index, {outer} AS v FROM (SELECT a.log_index, b.kind AS _k, b."user" AS _u, {inner} AS x FROM g a JOIN d b ON a.partition_id = b.partition_id AND a.{by} = b.{by}
+    AND b.pane BETWEEN a.pane - {hours - 1} AND a.pane AND (b.pane < a.pane OR b.log_index <= a.log_index) GROUP BY ALL) GROUP BY ALL"""
+
+
+SPIKE_SQL = f"""{TELE}, recent AS ({_known(3, "sum(b.value)", "sum(x)", "kind")}), usual AS ({_known(24, "avg(b.value)", "avg(x)", "kind")}), work AS ({_known(3, _RISE, "sum(x)", "shard")}),
+j AS (SELECT g.log_index, g.pane, g.kind, r.v AS recent, u.v AS usual, w.v AS work FROM g JOIN recent r USING (log_index) JOIN usual u USING (log_index) LEFT JOIN work w USING (log_index))"""
+
+
+@query(f"""{SPIKE_SQL} SELECT log_index, 'alerts' AS channel, 'spike' AS rule_id, 'spike_v1' AS schema_key, 2::BIGINT AS rule_version, kind, round(recent, 8) AS recent, round(usual, 8) AS usual, NULL::BIGINT AS at FROM j WHERE recent > 2 * greatest(1, usual)
+UNION ALL SELECT log_index, 'audit', 'idle', '', 2, NULL, NULL, NULL, (pane + 1) * 3600000000000 FROM j WHERE work IS NULL OR work < 1""")
+def bundle_spikes(spark, sf_dir):
+    e = tables.read_events_table(spark, sf_dir)
+    user = F.col("partition_key").cast("int")
+    labels = F.create_map(F.lit("kind"), F.col("measurements")[0]["labels"]["event_type"], F.lit("shard"), (user % 3).cast("string"))
+    t = _telemetry(spark, sf_dir).withColumn("partition_id", F.col("partition_id").cast("string"))
+    got = bundle.run(bundle.load(SPIKES), t, e.withColumn("labels", labels), HOUR)
+    told = lambda name, kind: F.get_json_object("payload", f"$.{name}").cast(kind)
+    return got.select("log_index", "channel", "rule_id", "schema_key", "rule_version", told("kind", "string").alias("kind"), *[F.round(told(n, "double"), 8).alias(n) for n in ("recent", "usual")], told("at", "long").alias("at"))
 
 
-@query(SPIKE_SQL)
+@query(f"{SPIKE_SQL} SELECT log_index FROM j WHERE recent > 2 * greatest(1, usual)")
 def bundle_spike_alerts(spark, sf_dir):
-    return QUERIES["bundle_spikes"](spark, sf_dir).where("channel = 'alerts'").select("log_index")
+    return bundle_spikes(spark, sf_dir).where("channel = 'alerts'").select("log_index")
 
 
 # ---------------------------------------------------------------- other tables

@@ -238,6 +238,45 @@ def test_bundle_runs(spark):
     assert [(r.log_index, r.payload, r.channel) for r in got] == [(3, '{"zone":"a","peak":40.0}', "out")]
 
 
+def test_bundles_judge_by_what_was_known(spark):
+    doc = {"bundle": {"name": "b", "lane_domains": {"zone": {"max_per_partition": 8}}}, "workflow": {"phases": [
+        {"name": "m", "type": "aggregate.promql", "options": {"window": "1s", "queries": {"s": "sum by (zone)(sum_over_time(temp[1s]))", "any": "max_over_time(temp[1s])"}}},
+        {"name": "judge", "type": "classify.cel", "options": {"rules": [
+            {"name": "full", "when": 'm["s"].value > 35', "emit": {"channel": "out", "payload": {"at": "window_end_ns"}}},
+            {"name": "one", "when": 'm["any"].has_value', "emit": {"channel": "ones"}}]}},
+    ]}}
+    data = [(1, 10, 10.0, "u1"), (2, 20, 10.0, "u1"), (3, 30, 10.0, "u2"), (4, 40, 10.0, "u2")]
+    t = spark.createDataFrame([("p", i, k, "temp", v, None, {"zone": "a", "user": u}) for i, k, v, u in data], TELE)
+    e = spark.createDataFrame([("p", i, k, {}, '{"zone": "a"}', f"e{i}", "k", "s") for i, k, _, _ in data], "partition_id string, log_index long, tick_ms long, labels map<string,string>, payload string, event_id string, partition_key string, schema_key string")
+    got = bundle.run(bundle.load(doc), t, e, 1000).collect()
+    assert [(r.log_index, r.payload) for r in got if r.rule_id == "full"] == [(4, '{"at":1000000000}')]
+    assert sorted(r.log_index for r in got if r.rule_id == "one") == [1, 2]  # from the third event on two series answer
+
+
+def test_metric_queries_as_of_each_event(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["p", None]), i, rng.randrange(40), rng.choice([None, 1.0, 2.0, 5.0, 9.0]), rng.choice(["a", "b", None]), rng.choice("xyz")) for i in range(200)]
+    t = spark.createDataFrame([(p, i, k * 100, "m", v, u, {"z": z, "u": u}) for p, i, k, v, z, u in rows], TELE)
+    events = spark.createDataFrame([(p, i, k // 5, z) for p, i, k, _, z, _ in rows], "partition_id string, log_index long, pane long, by_z string")
+    mean = lambda v: sum(v) / len(v) if v else None
+    inner = {"avg": mean, "sum": lambda v: sum(v) if v else None, "min": lambda v: min(v, default=None), "max": lambda v: max(v, default=None)}
+    for outer in ("sum", "avg", "count", "min", "max"):
+        for func in ("avg", "sum", "min", "max"):
+            got = series.evaluate_events(t, promql.parse(f"{outer} by (z)({func}_over_time(m[2s]))"), 500, events, "v").collect()
+            assert len(got) == len(rows)
+            told = {r.log_index: r.v.value for r in got}
+            for p, i, k, _, z, _ in rows:
+                kept: dict = {}
+                for p2, i2, k2, v2, z2, u2 in rows:
+                    if (p, z) == (p2, z2) and k // 5 - 4 < k2 // 5 <= k // 5 and (k2 // 5 < k // 5 or i2 <= i):
+                        kept.setdefault(u2, []).extend([] if v2 is None else [v2])
+                values = [x for x in (inner[func](v) for v in kept.values()) if x is not None]
+                want = float(len(values)) if outer == "count" else inner[outer](values)
+                assert (told[i] is None) == (want is None) and (want is None or abs(told[i] - want) < 1e-9), (outer, func, i)
+
+
 def test_bundle_checks():
     import copy
 
