@@ -15,12 +15,14 @@ often are kept encoded, in a table of bounded size. A stretch without any white
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache, lru_cache
 from itertools import islice
 
@@ -351,6 +353,18 @@ def split(text: str) -> list[str]:
 _SPACE = re.compile(f"[{SPACE}]+")
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Holds off the search for cycles, of which tokens and chunks make none but which goes over all that are kept time and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
@@ -445,6 +459,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         e = encoder(path)
         for t in blocks(batches, 1):
+            yield block(e, t)
+
+    def block(e: Encoder, t: pa.Table) -> pa.RecordBatch:
+        with uncollected():
             texts = t.column(1).to_pylist()
             # the different chunks of the block are encoded once; a long text, or one with a long chunk, passes by itself
             parts = [split(x or "") if len(x or "") <= PART else None for x in texts]
@@ -459,6 +477,6 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     out.append(told(map(known.__getitem__, chunk[at : at + len(p)]), e.v.names))
                     at += len(p)
             n, ids, back = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
