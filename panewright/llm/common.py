@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """df as by cut(), without the plan's estimate of its size.
+
+    A checkpoint takes the estimate along, and that of a join is the product of its sides: a loop that joins what it has cut gets a number
+    with three times as many digits each round, which after some fifteen rounds is more than the driver can hold.
+    """
+    spark, done = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def placed(df: DataFrame, by: str) -> DataFrame:
     """df as by cut(), dealt by the hash of one column, so that later joins and groups on it don't move it again.
 

@@ -3,7 +3,7 @@
 Each round every node takes the neighbour (or itself) of least random rank as its
 representative, and the graph shrinks to the representatives. Ranks change every
 round, so a constant share of the nodes goes each time, whatever the shape of the
-graph. Nothing but a row count reaches the driver.
+graph. Nothing but a row count reaches the driver, and plans don't grow from round to round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut_unsized
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     ignored. A node without edges is not returned. root is one of the nodes, not
     the smallest: take the least of what you need over each root.
     """
-    e = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    e = cut_unsized(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
             .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
     names = None
     for k in range(most_rounds):
@@ -51,15 +51,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("r"), F.col(c).alias("v"))
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        up = cut(up.select(F.col("a").alias("u"), F.least("m", rank("a"))["v"].alias("p")))
+        up = cut_unsized(up.select(F.col("a").alias("u"), F.least("m", rank("a"))["v"].alias("p")))
         if names is None:
             names = up.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             names = names.join(up, names["root"] == up["u"], "left").select("node", F.coalesce("p", "root").alias("root"))
-        names = cut(names)
+        names = cut_unsized(names)
         left, right = up.select(F.col("u").alias("a"), F.col("p").alias("x")), up.select(F.col("u").alias("b"), F.col("p").alias("y"))
         moved = e.join(left, "a").join(right, "b").where("x <> y")
-        e = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        e = cut_unsized(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     if names is None:

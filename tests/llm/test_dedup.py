@@ -45,6 +45,20 @@ def test_no_edges(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_plans_do_not_grow_with_rounds(spark, monkeypatch):
+    bits, cut = [], components.cut_unsized
+
+    def measured(df):
+        out = cut(df)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(components, "cut_unsized", measured)
+    got = components.components(spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert got.count() == 20_001 and got.select("root").distinct().count() == 1
+    assert len(bits) >= 3 * 5 and max(bits) <= 64, bits
+
+
 def test_forest():
     a, b = components.forest(np.array([1, 2, 3, 9, 9]), np.array([2, 3, 1, 8, 9]))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 2), (1, 3), (8, 9)]
