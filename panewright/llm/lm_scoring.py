@@ -28,6 +28,8 @@ MODELS = ("target", "background", "corpus")
 U = np.uint64
 #: Symbols of the corpus for each shard that counts.
 SHARD = 1 << 22
+#: Symbols of a block that are scored in one go, whole documents at a time.
+SCORED = 1 << 18
 
 
 def targets(labels: DataFrame) -> DataFrame:
@@ -81,9 +83,13 @@ class Block:
         w = unpack(row["seq"], np.uint32).astype(np.int64)
         end = int(w[-1]) if len(w) else 0  # a text's end stands before the next text
         pair = np.concatenate([[end], w[:-1]]) * self.v + w if len(w) else w
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        del w
         #: the different pairs, and which of them each symbol makes with the one before
-        self.pairs, self.of = np.unique(pair, return_inverse=True)
+        self.pairs, of = np.unique(pair, return_inverse=True)
+        del pair
+        self.of = of.astype(np.int32)
+        del of
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         self.h, self.w = np.divmod(self.pairs, max(1, self.v))
         target = np.zeros(len(self.n), bool)
         target[np.array(row["at"] or [], np.int64)] = True
@@ -166,12 +172,22 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def losses(b: Block, pairs: np.ndarray, words: np.ndarray, pair_off: list[tuple], word_off: list[tuple], word_stats: list[list[int]], size: int) -> np.ndarray:
     """Bits of each document under each model, without the document's own counts."""
-    row, x = np.unique(b.doc * max(1, len(b.pairs)) + b.of, return_counts=True)
-    doc, pair = np.divmod(row, max(1, len(b.pairs)))
+    upto = np.concatenate([[0], np.cumsum(b.n)])
+    out, at = np.zeros((len(MODELS), len(b.n))), 0
+    while at < len(b.n):  # what is held for each symbol is many times its size, so not for the whole block at once
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + SCORED, "right")) - 1)
+        if upto[end] > upto[at]:
+            out[:, at:end] = _losses(b, at, end, slice(upto[at], upto[end]), pairs, words, pair_off, word_off, word_stats, size)
+        at = end
+    return out
+
+
+def _losses(b: Block, first: int, last: int, symbols: slice, pairs: np.ndarray, words: np.ndarray, pair_off: list[tuple], word_off: list[tuple], word_stats: list[list[int]], size: int) -> np.ndarray:
+    """losses() of the documents from first to before last, which have these symbols, one at least."""
+    row, x = np.unique(b.doc[symbols].astype(np.int64) * len(b.pairs) + b.of[symbols], return_counts=True)
+    doc, pair = np.divmod(row, len(b.pairs))
     h, w = b.h[pair], b.w[pair]
-    out = np.zeros((len(MODELS), len(b.n)))
-    if not len(row):
-        return out
+    out = np.zeros((len(MODELS), last - first))
     # rows are sorted by document, history and word
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
     start, of = np.flatnonzero(new), np.cumsum(new) - 1
@@ -194,7 +210,7 @@ def losses(b: Block, pairs: np.ndarray, words: np.ndarray, pair_off: list[tuple]
         spare = d[0] * ones + d[1] * twos + d[2] * (some - ones - twos)
         low = (follows - _off(follows, d) + spare / size) / every if every else np.full(len(row), 1.0 / size)
         p = np.where(total > 0, (left - _off(left, pair_off[m]) + given * low) / np.maximum(total, 1), low)
-        out[m] = np.bincount(doc, -x * np.log2(p), len(b.n))
+        out[m] = np.bincount(doc - first, -x * np.log2(p), last - first)
     return out
 
 

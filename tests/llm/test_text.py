@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -399,6 +400,33 @@ def test_cross_entropy_difference(spark, scored):
     assert lm_scoring.cross_entropy_difference(odd.where("false"), labels).count() == 0
 
 
+def test_documents_are_scored_in_slices_of_a_block(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 60, 4000)
+    n[[0, 5, 6, 7, 3999]] = 0
+    n[17] = 30_000
+    seq, v = rng.zipf(1.3, n.sum()) % 5000, 5000
+    row = {"n": n.tolist(), "luck": blocks.pack(rng.integers(0, 1 << 32, len(n)).astype(np.uint32)), "seq": blocks.pack(seq.astype(np.uint32)), "words": rng.integers(0, 1 << 63, v).astype(np.uint64).tobytes(), "at": list(range(0, len(n), 7))}
+    b = lm_scoring.Block(row, 0.2, 12)
+    pairs, words = np.stack(b.counts).astype(np.int64), rng.integers(200_001, 200_009, (15, v))
+    pairs[2] += 1
+    off, stats = [(0.5, 1.0, 1.5)] * 3, [[1000, 500, 200, 100, v, 10 * v]] * 3
+    most = []
+
+    def losses(symbols):
+        monkeypatch.setattr(lm_scoring, "SCORED", symbols)
+        tracemalloc.start()
+        got = lm_scoring.losses(b, pairs, words, off, off, stats, v)
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return got
+
+    whole, parts = losses(1 << 40), losses(1 << 12)
+    assert np.allclose(whole, parts, rtol=1e-12, atol=0) and (parts[:, n == 0] == 0).all() and (parts[:, n > 0] != 0).all()
+    assert most[1] < most[0] / 2, most
+    assert np.allclose(whole, losses(1), rtol=1e-12, atol=0)
+
+
 def test_word_pairs_against_dictionaries(spark, monkeypatch):
     """Each document's losses by dictionaries from which its own counts are taken out; discounts and sums over the vocabulary stay."""
     monkeypatch.setattr(blocks, "ROW", blocks.BLOCK // 5)  # blocks of five rows
