@@ -62,11 +62,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, with one row of each group of equal texts: that of the largest id, and of those the one of the greatest text. Null ids are less than others."""
-    same = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    row = F.max_by(F.struct(*docs.columns), F.struct(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return docs.groupBy(same.alias("_same")).agg(row.alias("_row")).select("_row.*")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """docs, with all their columns, with one row of each group of texts with equal recipes: that of the largest id, and of those the one of the greatest text. Null ids are less than others."""
+    r = recipes(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", key)
+    order = F.struct(F.col("id")[id_col], F.coalesce(F.col("id")[text_col], F.lit("")))
+    return r.groupBy("recipe", "extra").agg(F.max_by("id", order).alias("_row")).select("_row.*")
 
 
 ORACLE = """

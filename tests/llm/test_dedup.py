@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panewright.llm import components, embedding_dedup, exact_dedup, queries, simhash, substring_dedup
 
 DOCS = "doc_id long, text string"
@@ -89,6 +90,25 @@ def test_exact(spark, weak):
     assert kept.columns == df.columns and sorted({r.doc_id for r in kept.collect()}) == sorted({max(v) for v in groups.values()})
 
 
+def test_the_pipeline_dedups_by_recipes(spark, monkeypatch):
+    """Also where many different chunks collide, so that recipes alone don't tell texts apart."""
+    calls, recipes = [], exact_dedup.recipes
+
+    def weak(docs, id_col="doc_id", text_col="text", key=None):
+        calls.append(id_col)
+        return recipes(docs, id_col, text_col, lambda c: F.pmod(F.xxhash64(c), F.lit(3)))
+
+    monkeypatch.setattr(exact_dedup, "recipes", weak)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in EXACT], f"{DOCS}, lang string, source string, n_chars long")
+    got = corpus_pipeline.exact(spark, df, "")
+    assert got.columns == df.columns
+    groups = defaultdict(list)
+    for i, t in EXACT:
+        groups[lower(t)].append((i, t or ""))
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted(max(g) for g in groups.values())
+    assert len(calls) == 1
+
+
 def test_exact_null_ids_and_empty(spark):
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (3, "A"), (None, "b")], DOCS)).collect()}
     assert got == {(None, 3, 2, False), (3, 3, 2, True), (None, None, 1, True)}
