@@ -75,12 +75,28 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
 
 
+def ordered(key: np.ndarray, bits: int) -> np.ndarray:
+    """np.argsort(key, kind="stable") of whole numbers from 0 to below 2**bits, 64 bits at most.
+
+    Sorts numbers that hold the place below the upper bits of the key, which is some times faster; keys that differ in the bits left out are put right at the end.
+    """
+    place = max(1, (len(key) - 1).bit_length())
+    out = max(0, bits + place - 64)
+    order = np.sort((key.astype(U, copy=False) >> U(out)) << U(place) | np.arange(len(key), dtype=U))
+    order = (order & U((1 << place) - 1)).astype(np.int64)
+    if out:
+        key = key[order]
+        if (key[1:] < key[:-1]).any():
+            order = order[np.argsort(key, kind="stable")]
+    return order
+
+
 def by_shard(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by shard and 48 bits of the key, these bits in this order, where each of the shards begins and the last one ends).
 
     The shard depends on other bits, so different keys are taken for one if 48 bits and the shard agree: of n keys about n^2 / 2^49 / shards.
     """
-    shard = (mix(key ^ U(0x5851F42D4C957F2D)) % U(shards)).astype(np.int64)
+    shard = mix(key ^ U(0x5851F42D4C957F2D)) % U(shards)
     bits = key >> U(16)
-    order = np.lexsort((bits, shard))
-    return order, bits[order], np.searchsorted(shard[order], np.arange(shards + 1))
+    order = ordered(shard << U(48) | bits, 48 + (shards - 1).bit_length()) if shards <= 1 << 16 else np.lexsort((bits, shard))
+    return order, bits[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=U))

@@ -12,6 +12,9 @@ What is shuffled grows with the corpus; nothing is broadcast or cut off. A pair
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -20,16 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, by_shard, chunks, pack, pack_sorted, spread, unpack, unpack_sorted
+from .blocks import blocks, by_shard, ordered, pack, pack_sorted, unpack, unpack_sorted
 from .common import cut, mix, placed
 
-WORDS = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]|[[\p{L}\p{M}]--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]]+|\p{N}|[^\s\p{L}\p{M}\p{N}]", regex.V1)
+#: What goes on as one symbol; any other character but white space is one of its own.
+WORDS = regex.compile(r"[[\p{L}\p{M}]--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}]]+", regex.V1)
+SPACE, WORD, SINGLE = range(3)
 MODELS = ("target", "background", "corpus")
 U = np.uint64
 #: Symbols of the corpus for each shard that counts.
 SHARD = 1 << 22
 #: Symbols of a block that are scored in one go, whole documents at a time.
 SCORED = 1 << 18
+#: Characters that are cut into symbols in one go, two at least.
+PIECE = 1 << 20
 
 
 def targets(labels: DataFrame) -> DataFrame:
@@ -37,25 +44,74 @@ def targets(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("target_id")).distinct()
 
 
+@cache
+def kinds() -> np.ndarray:
+    """SPACE, WORD or SINGLE for each code point."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    kind = np.full(len(every), SINGLE, np.uint8)
+    for what, found in ((WORD, WORDS), (SPACE, regex.compile(r"[\s\x1C-\x1F]+"))):
+        for m in found.finditer(every):
+            kind[slice(*m.span())] = what
+    return kind
+
+
+def pieces(texts: list[str]) -> tuple[list[pa.Array], np.ndarray]:
+    """(the symbols of texts in lower case, in arrays one after the other; how many each text has)."""
+    ends, text = np.cumsum([len(t) for t in texts]), "".join(texts)
+    out, n = [], np.zeros(len(texts), np.int64)
+    at, codes = 0, lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    while at < len(text):
+        code = codes(text[at : at + PIECE])
+        kind = kinds()[code]
+        some, word = kind != SPACE, kind == WORD
+        begins = some.copy()
+        begins[1:] &= ~(word[1:] & word[:-1])
+        first = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(code))] - at
+        begins[first] = some[first]
+        del kind, word
+        size = len(code)
+        if at + size < len(text):  # the last symbol may go on: it is left for the next piece
+            ended = (begins | ~some)[:0:-1]
+            if not ended.any():  # all one word: only its end is looked for
+                of = int(np.searchsorted(ends, at, "right"))
+                to, last = at + size, int(ends[of])
+                while to < last and (word := kinds()[codes(text[to : min(to + PIECE, last)])] == WORD)[0]:
+                    to += len(word) if word.all() else int(word.argmin())
+                out.append(pa.array([text[at:to]], pa.large_string()))
+                n[of] += 1
+                at = to
+                continue
+            size -= 1 + int(ended.argmax())
+            del ended
+        code, begins = code[:size][some[:size]], begins[:size]
+        n += np.diff(np.searchsorted(np.flatnonzero(begins), np.clip(ends - at, 0, size)), prepend=0)
+        start = np.flatnonzero(begins[some[:size]])
+        raw = str(code, "utf-32-le").encode()
+        if len(raw) > len(code):
+            wide = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+            start = (np.cumsum(wide) - wide)[start]
+        out.append(pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw))), pa.py_buffer(raw)))
+        at += size
+    return out, n
+
+
 def symbols(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(each symbol, as its place in the third; symbols of each text; the different ones, most frequent first). The end of a text is the symbol ""; texts without others have no end."""
-    chunk, sizes, different = chunks(texts)
-    known = {"": 0}
-    found, n = [], np.zeros(len(different), np.int64)
-    for k, c in enumerate(different):
-        before = len(found)
-        found += [known.setdefault(m[0], len(known)) for m in WORDS.finditer(c.lower())]
-        n[k] = len(found) - before
-    found, start = np.array(found, np.int64), np.cumsum(n) - n
-    text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n[chunk])
-    seq, of = found[spread(start[chunk], n[chunk])], np.bincount(text, minlength=len(sizes))
-    ends = np.cumsum(of)[of > 0]
-    seq = np.insert(seq, ends, 0)
-    count = np.bincount(seq, minlength=len(known))
-    place = np.empty(len(known), np.int64)
-    place[np.argsort(-count, kind="stable")] = np.arange(len(known))
-    names = list(known)
-    return place[seq], of + (of > 0), [names[k] for k in np.argsort(place)]
+    found, of = [], [np.zeros(0, np.int64)]
+    for t in blocks(pa.table([texts], ["text"]).to_batches(), 0, PIECE):
+        some, n = pieces([(x or "").lower() for x in t.column(0).to_pylist()])
+        found += some
+        of.append(n)
+    of = np.concatenate(of)
+    got = pa.chunked_array(found, pa.large_string()).combine_chunks().dictionary_encode()
+    del found
+    names = ["", *got.dictionary.to_pylist()]
+    seq = np.insert(got.indices.to_numpy().astype(np.int64) + 1, np.cumsum(of)[of > 0], 0)
+    count = np.bincount(seq, minlength=len(names))
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    return place[seq], of + (of > 0), [names[k] for k in order]
 
 
 def read(docs: DataFrame, kind: str) -> DataFrame:
@@ -84,27 +140,35 @@ class Block:
         end = int(w[-1]) if len(w) else 0  # a text's end stands before the next text
         pair = np.concatenate([[end], w[:-1]]) * self.v + w if len(w) else w
         del w
+        order = ordered(pair, (self.v**2).bit_length()) if self.v < 1 << 31 else np.argsort(pair, kind="stable")
+        pair = pair[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]
         #: the different pairs, and which of them each symbol makes with the one before
-        self.pairs, of = np.unique(pair, return_inverse=True)
+        self.pairs, self.of = pair[new], np.empty(len(pair), np.int32)
         del pair
-        self.of = of.astype(np.int32)
-        del of
+        self.of[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order, new
         self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         self.h, self.w = np.divmod(self.pairs, max(1, self.v))
         target = np.zeros(len(self.n), bool)
         target[np.array(row["at"] or [], np.int64)] = True
         #: for each model, whether it has the document
         self.has = [target, unpack(row["luck"], np.uint32) < rate * 2**32, np.ones(len(self.n), bool)]
-        self.counts = [np.bincount(self.of, has[self.doc], len(self.pairs)).astype(np.uint64) for has in self.has]
         self.order, self.keys, self.edges = by_shard(mix(self.words[self.h] * U(0x9E3779B97F4A7C15) + mix(self.words[self.w])), shards)
         self.word_order, self.word_keys, self.word_edges = by_shard(self.words, shards)
 
+    @property
+    def counts(self) -> list[np.ndarray]:
+        """How often each model's documents have each pair."""
+        return [np.bincount(self.of if has.all() else self.of[has[self.doc]], minlength=len(self.pairs)).astype(np.uint64) for has in self.has]
+
     def sums(self, answers: list[bytes], order: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The numbers that came back for each key, a row for each kind of number, in the block's own order."""
         parts = [unpack(a, np.uint64).reshape(-1, e - s) for a, s, e in zip(answers, edges[:-1][np.diff(edges) > 0], edges[1:][np.diff(edges) > 0], strict=True)]
         got = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.uint64)
         out = np.empty((len(got), len(order)), np.int64)
-        out[:, order] = got
+        for to, numbers in zip(out, got, strict=True):
+            to[order] = numbers
         return out
 
 
@@ -133,13 +197,14 @@ def answer(asked: DataFrame, models: slice, first: bool) -> tuple[DataFrame, lis
         parts = [unpack_sorted(x) for x in t.column("keys").to_pylist()]
         size = [len(p) for p in parts]
         key = np.concatenate(parts)
-        order = np.argsort(key, kind="stable")
+        order = ordered(key, 48)
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         start, group = np.flatnonzero(new), np.cumsum(new) - 1
         numbers = np.concatenate([unpack(x, np.uint64).reshape(-1, n) for x, n in zip(t.column("numbers").to_pylist(), size, strict=True)], 1)
-        sums = np.add.reduceat(numbers[:, order], start, axis=1)
+        sums = [np.add.reduceat(m[order], start) for m in numbers]
         back = np.empty((len(numbers) + first, len(key)), np.uint64)
-        back[: len(numbers), order] = sums[:, group]
+        for to, m in zip(back, sums, strict=False):
+            to[order] = m[group]
         if first:
             back[-1, order] = new
         cuts = np.cumsum([0, *size])
@@ -163,9 +228,9 @@ def _off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, starts of equal keys in it, group of each in it)."""
-    order = np.argsort(key, kind="stable")
+def _grouped(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts of equal keys in it, group of each in it); keys are below most."""
+    order = ordered(key, most.bit_length())
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
@@ -191,7 +256,7 @@ def _losses(b: Block, first: int, last: int, symbols: slice, pairs: np.ndarray,
     # rows are sorted by document, history and word
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])
     start, of = np.flatnonzero(new), np.cumsum(new) - 1
-    order, followed, follower = _grouped(doc * b.v + w)
+    order, followed, follower = _grouped((doc - first) * b.v + w, (last - first) * b.v)
     for m in range(len(MODELS)):
         own = b.has[m][doc]
         c = pairs[m][pair]
@@ -235,7 +300,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 x = Block(row, rate, shards)
-                yield ask(row["block"], x.keys, x.edges, np.stack(x.counts)[:, x.order])
+                yield ask(row["block"], x.keys, x.edges, np.stack([c[x.order] for c in x.counts]))
 
     def ask_words(l: pa.Table, r: pa.Table) -> pa.Table:
         row = l.to_pylist()[0]
@@ -245,7 +310,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         numbers = [add(x.h, c) for c in x.counts]
         numbers += [add(x.h, (first == 1) & ((c == k) if k < 3 else (c >= 3))) for c in sums for k in (1, 2, 3)]
         numbers += [add(x.w, (first == 1) & (c > 0)) for c in sums]
-        return pa.Table.from_batches([ask(row["block"], x.word_keys, x.word_edges, np.stack(numbers)[:, x.word_order])])
+        return pa.Table.from_batches([ask(row["block"], x.word_keys, x.word_edges, np.stack([c[x.word_order] for c in numbers]))])
 
     pairs, pair_stats = answer(known.select("block", "n", "luck", "seq", "words", "at").mapInArrow(ask_pairs, ASKED), slice(0, 3), True)
     asked = known.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(ask_words, ASKED)

@@ -1,11 +1,14 @@
 import hashlib
 import math
 import random
+import sys
 import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from panewright.llm import blocks, bpe, language_id, lm_scoring, mixing, quality, token_counts
@@ -400,6 +403,52 @@ def test_cross_entropy_difference(spark, scored):
     assert lm_scoring.cross_entropy_difference(odd.where("false"), labels).count() == 0
 
 
+def test_symbols_are_cut_for_all_texts_at_once(monkeypatch):
+    """Symbols are those of the pattern for each character's class; no call is made for each different chunk of a block."""
+    cjk = r"\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}"
+    each = regex.compile(rf"[{cjk}]|[[\p{{L}}\p{{M}}]--[{cjk}]]+|\p{{N}}|[^\s\x1C-\x1F\p{{L}}\p{{M}}\p{{N}}]", regex.V1)
+
+    def check(texts):
+        seq, n, names = lm_scoring.symbols(pa.chunked_array([pa.array(texts, pa.string())]))
+        want = [w and [*w, ""] for t in texts for w in [each.findall((t or "").lower())]]
+        assert n.tolist() == [len(w) for w in want] and [names[k] for k in seq] == [x for w in want for x in w]
+        assert len(set(names)) == len(names) and "" in names
+        often = np.bincount(seq, minlength=len(names)).tolist()
+        assert often == sorted(often, reverse=True)
+
+    rng, some = random.Random(11), [*"aΣςİß7٣猫か.,_'\n\t\x1c\x85\xa0\u3000\u200b\u180e\0", "e\u0301", "क्ष", "𝒜", "😀", " ", " ", "Word", "ΟΔΟΣ"]
+    for piece in (2, 3, 7, 64, 1 << 20):  # a symbol may go on in the next piece
+        monkeypatch.setattr(lm_scoring, "PIECE", piece)
+        check([None, "", " \n", *("".join(rng.choices(some, k=rng.choice([1, 2, 5, 40, 200]))) for _ in range(60)), "y" * 300, "y" * 128, "yÉ" * 64 + "7" + "é" * 200 + " z"])
+        check([])
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    check(["a" + c + "b" + c + c + " Σ" + c for c in every[:: 7]])
+    calls = Counter()
+    texts = pa.chunked_array([pa.array([" ".join(f"w{chr(97 + k % 26)}{k}," for k in range(20_000))])])
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    lm_scoring.symbols(texts)
+    sys.setprofile(None)
+    assert calls.total() < 5_000, calls  # 20,000 different chunks
+
+
+def test_ordered_is_a_stable_argsort():
+    rng = np.random.default_rng(5)
+    for bits in (1, 17, 36, 48, 60, 64):
+        for n in (0, 1, 2, 3, 5000, 1 << 17):
+            key = rng.integers(0, 2**bits - 1, n, np.uint64, endpoint=True)
+            key[::3] = key[:1]  # repeated, and different in the last bit only
+            key[1::7] = key[:1] ^ np.uint64(1)
+            assert (blocks.ordered(key, bits) == np.argsort(key, kind="stable")).all()
+    low = rng.integers(0, 50, 1 << 17, np.uint64)  # the bits that differ are those left out
+    assert (blocks.ordered(low, 64) == np.argsort(low, kind="stable")).all()
+    key = rng.integers(0, 1 << 64, 5000, np.uint64)
+    for shards in (1, 12, 1 << 16, (1 << 16) + 1):
+        order, bits, edges = blocks.by_shard(key, shards)
+        for a, b in zip(edges[:-1][np.diff(edges) > 0], edges[1:][np.diff(edges) > 0], strict=True):
+            assert (np.diff(bits[a:b].astype(np.int64)) >= 0).all()
+        assert sorted(order.tolist()) == list(range(5000)) and (bits == key[order] >> np.uint64(16)).all() and edges[-1] == 5000
+
+
 def test_documents_are_scored_in_slices_of_a_block(monkeypatch):
     rng = np.random.default_rng(3)
     n = rng.integers(0, 60, 4000)
